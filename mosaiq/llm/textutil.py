@@ -75,21 +75,67 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """word -> 8 bytes of its 64-bit hash, kept for words seen before."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        import xxhash
-
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        code = xxhash.xxh3_64_intdigest(word).to_bytes(8, "little")
-        if len(word) <= CACHED_LENGTH:
-            self[word] = code
-        return code
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype="<u8")
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE, _SEGMENT, _LONG_WORD = 0xD1342543DE82EF95, 1 << 18, 64
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse modulo 2**64."""
+    if not _POWERS or len(_POWERS["up"]) < n:
+        size = max(1 << 16, n)
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            _POWERS[name] = np.multiply.accumulate(x)
+    return _POWERS["up"], _POWERS["down"]
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` in order. Long texts are taken in segments that end at white space."""
+    if len(raw) > _SEGMENT:
+        out, at = [], 0
+        while at < len(raw):
+            end = at + _SEGMENT
+            if end < len(raw):
+                tail = raw[end - 4096 : end]
+                back = max(tail.rfind(b" "), tail.rfind(b"\n"))
+                if back >= 0:
+                    end = end - 4096 + back
+                else:
+                    stops = [x for x in (raw.find(c, end) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")) if x >= 0]
+                    end = min(stops, default=len(raw))
+            out.append(_hashes(raw[at:end]))
+            at = end
+        return np.concatenate(out)
+    return _hashes(raw)
+
+
+def _hashes(raw: bytes) -> np.ndarray:
+    import xxhash
+
+    a = np.frombuffer(raw, np.uint8)
+    inside = np.empty(len(a) + 2, np.int8)
+    inside[0] = inside[-1] = 0
+    np.logical_not(_SPACE[a], out=inside[1:-1].view(bool))
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[0::2], edge[1::2]
+    if not len(start):
+        return np.empty(0, np.uint64)
+    size = end - start
+    if int(size.max()) > _SEGMENT:  # a word without end: one at a time
+        each = ((raw[s:e], int(e - s)) for s, e in zip(start.tolist(), end.tolist()))
+        return np.array([xxhash.xxh3_64_intdigest(w) if n > _LONG_WORD else int(_hashes(w)[0]) for w, n in each], np.uint64)
+    up, down = _powers(len(a))
+    sums = np.empty(len(a) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_CODES[a] * up[: len(a)], out=sums[1:])
+    out = mix64((sums[end] - sums[start]) * down[start] + size.astype(np.uint64))
+    for k in np.flatnonzero(size > _LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[start[k] : end[k]])
+    return out
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
