@@ -18,6 +18,7 @@ bucket is by id, then size. An empty table gives no rows. Only the named columns
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mosaiq.llm.textutil import documents, map_batches, mix64, stored
+from mosaiq.llm.textutil import documents, map_batches, mix64, small_batches, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
+WORDS = re.compile(WORD)
 BLOCK, SHARD_SLOTS, MAX_SHARDS, MAX_SOURCES, MAX_EPOCHS = 128, 1024, 4096, 100_000, 3
 BUCKET_ROWS = 20_000
 
@@ -150,6 +152,44 @@ def mixture(df: DataFrame, weights=cycled_weights, block: int = BLOCK, shard_slo
     return Mixture(rows, sources, slots, pieces)
 
 
+SLICES = "array<struct<at:bigint,length:bigint,times:bigint>>"
+
+
+def cut_words(text: str, slices: list[tuple[int, int]]) -> str:
+    """The words of the slices (first word, number) as they stand in the text, apart by line ends; slices that touch are one."""
+    spans = [m.span() for m in WORDS.finditer(text)]
+    merged: list[list[int]] = []
+    for at, n in sorted(slices):
+        if merged and merged[-1][1] == at:
+            merged[-1][1] = at + n
+        else:
+            merged.append([at, at + n])
+    if len(merged) == 1 and merged[0] == [0, len(spans)]:
+        return text
+    return "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in merged)
+
+
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix as rows of ``df``: for a document one row for each epoch that takes words of it, with those words as its text."""
+    names = df.columns
+    keyed = df.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    mix = mixture(keyed, id_col="_key", text_col=text_col, source_col=source_col, **options)
+    times = mix.slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
+    each = mix.pieces.join(times, ["sid", "block"]).groupBy("row").agg(F.first("id").alias("_key"), F.collect_list(F.struct("at", "length", "times")).alias("_slices"), F.max("times").alias("most"))
+    copies = each.select("_key", "_slices", F.explode(F.sequence(F.lit(1).cast("bigint"), "most")).alias("_copy"))
+    copies = copies.select("_key", F.filter("_slices", lambda x: x["times"] >= F.col("_copy")).cast(SLICES).alias("_slices"))
+    rows = keyed.dropDuplicates(["_key"]).join(copies, "_key").select(*[F.col(f"`{c}`") for c in names], "_slices")
+    small_batches(df.sparkSession)
+    at = names.index(text_col)
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [cut_words(t or "", [(x["at"], x["length"]) for x in s]) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
+        columns = [pa.array(found, batch.column(k).type) if k == at else batch.column(k) for k in range(len(names))]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    return map_batches(rows, cut, df.schema)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixture(documents(spark, sf_dir)).taken()
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from mosaiq.llm.compact_windows import op8_compact_windows
 from mosaiq.llm.fertility import op6_fertility_rules
 from mosaiq.llm.jaccard_join import OP4_ORACLE, op4_jaccard_join
 from mosaiq.llm.licenses import op7_license_scan
@@ -20,8 +22,10 @@ QUERIES = {
     "op5_harmonic_packing": op5_harmonic_packing,
     "op6_fertility_rules": op6_fertility_rules,
     "op7_license_scan": op7_license_scan,
+    "op8_compact_windows": op8_compact_windows,
     "op9_token_orc": op9_token_orc,
     "op10_source_mixing": op10_source_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {"op4_jaccard_join": OP4_ORACLE}

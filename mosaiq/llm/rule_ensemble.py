@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mosaiq.llm.textutil import documents, map_batches, raw_texts, shingles, small_batches, stored, word_hashes
+from mosaiq.llm.textutil import documents, map_batches, raw_texts, shingles, small_batches, word_hashes
 
 MAX_ROWS = 20_000
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 40, 3, 0.2, 32, 5
@@ -69,16 +70,18 @@ def _digit_words(words: list[bytes]) -> int:
     return sum(w[0] < 58 and w.isdigit() for w in words)
 
 
-def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and one double column for each of ``STATISTICS``."""
+def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` and one double column ``_<name>`` for each of ``STATISTICS``."""
     small_batches(df.sparkSession)
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    at = df.columns.index(text_col)
+    names = [f"_{x}" for x in STATISTICS]
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = np.array([text_statistics(x) for x in raw_texts(batch.column(1))], np.float64).reshape(-1, len(STATISTICS))
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, k].copy()) for k in range(len(STATISTICS)))], ["id", *STATISTICS])
+        rows = np.array([text_statistics(x) for x in raw_texts(batch.column(at).cast(pa.string()))], np.float64).reshape(-1, len(STATISTICS))
+        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(rows[:, k].copy()) for k in range(len(STATISTICS)))], [*batch.schema.names, *names])
 
-    return map_batches(source, measure, f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{x} double" for x in STATISTICS))
+    schema = T.StructType([*df.schema.fields, *(T.StructField(x, T.DoubleType()) for x in names)])
+    return map_batches(df, measure, schema)
 
 
 Condition = tuple[int, bool, float]  # statistic, whether above, threshold
@@ -88,7 +91,7 @@ Condition = tuple[int, bool, float]  # statistic, whether above, threshold
 class RuleModel:
     intercept: float
     rules: list[tuple[tuple[Condition, ...], float]] = field(default_factory=list)
-    names: list[str] = field(default_factory=lambda: list(STATISTICS))
+    names: list[str] = field(default_factory=lambda: [f"_{x}" for x in STATISTICS])
 
     def score(self) -> Column:
         """The chance of label 1 as a column expression over the statistics."""
@@ -194,19 +197,27 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(stats: DataFrame, labels: DataFrame, label_col: str = "quality", label_id: str = "doc_id", max_rows: int = MAX_ROWS) -> RuleModel:
-    """A model from the labelled rows that are not held out, at most ``max_rows`` of them by a hash of the id."""
-    marks = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("double").alias("_label")).where("_label is not null").where(~held_out("id")).dropDuplicates(["id"])
-    rows = stats.join(marks, "id").orderBy(F.xxhash64("id"), "id").limit(max_rows).toPandas()
-    rows = rows.sort_values("id", kind="stable")
-    return fit(rows[STATISTICS].to_numpy(np.float64), (rows["_label"].to_numpy(np.float64) > 0.5).astype(np.float64))
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id: str = "doc_id", max_rows: int = MAX_ROWS) -> RuleModel:
+    """A model from the labelled rows that are not held out, at most ``max_rows`` labels by a hash of the id."""
+    marks = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("double").alias("_label")).where("id is not null and _label is not null").where(~held_out("id"))
+    marks = marks.groupBy("id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    found = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marks), "id")  # max_rows ids at most
+    rows = with_statistics(found, "text").drop("text").toPandas()
+    names = [f"_{x}" for x in STATISTICS]
+    rows = rows.sort_values(["id", *names], kind="stable")
+    return fit(rows[names].to_numpy(np.float64), (rows["_label"].to_numpy(np.float64) > 0.5).astype(np.float64))
 
 
-def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "quality") -> DataFrame:
+def scored(df: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
+    """``df`` with ``_score``, the chance of label 1."""
+    return with_statistics(df, text_col).select(*[F.col(f"`{c}`") for c in df.columns], model.score().alias("_score"))
+
+
+def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, held_out, score, predicted`` of every row."""
-    stats = stored(statistics(df, id_col, text_col), name)
-    model = train(stats, labels)
-    return stats.select("id", held_out("id").alias("held_out"), model.score().alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    named = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    score = scored(named, train(df, labels, id_col, text_col)).select("id", F.col("_score").alias("score"))
+    return score.select("id", held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,7 +224,7 @@ def default_vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make, schema) -> DataFrame:
     """``make(batch) -> RecordBatch`` over the Arrow batches of ``df``; the function is made once for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
