@@ -118,8 +118,9 @@ def nearest_vertices(atoms: DataFrame, vertices: DataFrame, key: str, residue: s
     step = F.sequence(F.lit(-1), F.lit(1))
     a = atoms.select(key, residue, *[F.col(c).alias(f"a{c}") for c in "xyz"])
     near = a
+    around = lambda v: F.transform(step, lambda d: v + d)
     for c, v in zip("xyz", cell("a")):
-        near = near.withColumn(f"_{c}", F.explode(F.transform(step, lambda d, v=v: v + d)))
+        near = near.withColumn(f"_{c}", F.explode(around(v)))
     v = vertices.withColumnsRenamed({c: f"v{c}" for c in "xyz"})
     for c, x in zip("xyz", cell("v")):
         v = v.withColumn(f"_{c}", x)
