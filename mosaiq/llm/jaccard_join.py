@@ -6,11 +6,12 @@ boundary) enumerates all subsets of L = 2 n-grams of its 2-prefix; the sets abov
 scanning inverted lists of single n-grams of their 1-prefix. Sets so near above the boundary that a small one
 can reach them do both. The boundary is the size at which the counted cost of all rows is least.
 
-The order comes from a count sketch of fixed size; it decides cost only, never a result, as any order that
+The order comes from a count sketch of fixed size, then from the n-grams' lengths; it decides cost only, never a result, as any order that
 all sets agree on is exact. Equal sets meet as one node. In a list, members are first compared with one pivot
 each; lists whose members still lie in several components are then compared pair by pair, by growing distance
-in the list, until each pair of different components was compared. So no link between different sets is lost,
-and copies are not expanded into pairs. N-grams are 64-bit hashes, sets 128-bit hashes.
+in the list, until each pair of different components was compared. Histograms of the n-grams' codes bound an
+intersection from above, and sets are made and moved for the pairs alone that they let through. So no link between different sets is lost,
+and copies are not expanded into pairs. N-grams are 64-bit codes, sets 128-bit hashes.
 
 Null and empty texts, and texts of white space, have an empty set, and link with nothing. Texts with fewer
 words than n have one n-gram of all their words. Repeated rows are kept; a null id takes part in links but is
@@ -30,16 +31,39 @@ from pyspark.sql import functions as F
 
 from mosaiq.llm.graph import components
 from mosaiq.llm.sketch import SlotCounts, levels, rare_first
-from mosaiq.llm.textutil import documents, raw_texts, shingles, small_batches, stored, word_hashes
+from mosaiq.llm.textutil import documents, map_batches, raw_texts, shingles, sized_words, small_batches, stored
 
 LARGEST_SMALL = 512  # the boundary is looked for up to this size
 LIST_SAMPLE = 4096  # one of so many n-grams is counted for the cost of scanning a list
 FIRST_REACH = 32
+MOST_SENT = 500_000  # nodes whose ids are broadcast; more are joined by shuffle
 
 
 def gram_set(raw: bytes, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the n-grams of a text, A-Z in lower case."""
-    return np.unique(shingles(word_hashes(raw.lower()), n))
+    """Sorted distinct codes of the n-grams of a text, A-Z in lower case: a hash under 6 bits of the n-gram's length, so that long ones, which are rarely met by chance, come first."""
+    words, sizes = sized_words(raw.lower())
+    if not len(words):
+        return np.empty(0, np.uint64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    k = min(n, len(words))
+    length = np.uint64(63) - np.minimum((ends[k:] - ends[:-k]) // 2, 63).astype(np.uint64)
+    return np.unique((length << np.uint64(58)) | (shingles(words, n) >> np.uint64(6)))
+
+
+def histogram(grams: np.ndarray) -> np.ndarray:
+    """Counts of the codes' low bits in a power of two of bins, about one for eight n-grams: a bound on any intersection."""
+    bins = 64
+    while bins * 8 < len(grams) and bins < 4096:
+        bins *= 2
+    return np.bincount((grams & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether sets of these histograms can reach the threshold."""
+    if len(a) > len(b):
+        a, b = b, a
+    both = int(np.minimum(a, b.reshape(-1, len(a)).sum(axis=0)).sum())
+    return 100 * both >= percent * (int(a.sum()) + int(b.sum()) - both)
 
 
 def needed(size, percent: int):
@@ -48,30 +72,31 @@ def needed(size, percent: int):
 
 
 def _profile(df: DataFrame, n: int) -> DataFrame:
-    """One pass: rows ``row, id, size, s1, s2`` of documents, and with null row the sketch's and the sample's counts."""
+    """One pass: rows ``row, id, size, s1, s2, bins`` of documents, and with null row the sketch's and the sample's counts."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, sample = None, {}
         row = TaskContext.get().partitionId() << 36
-        names, id_type = ["row", "id", "size", "s1", "s2", "slot", "gram", "count"], None
+        names, id_type = ["row", "id", "size", "s1", "s2", "bins", "slot", "gram", "count"], None
         for batch in batches:
             id_type, sketch = batch.schema.field(0).type, sketch or SlotCounts()
-            sizes, sig = [], []
+            sizes, sig, bins = [], [], []
             for raw in raw_texts(batch.column(1)):
                 grams = gram_set(raw, n)
+                bins.append(histogram(grams).astype("<i4").tobytes())
                 sizes.append(len(grams))
                 d = xxhash.xxh3_128_digest(grams.tobytes())
                 sig.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
                 sketch.add(grams)
-                for g in grams[(grams >> np.uint64(40)) % np.uint64(LIST_SAMPLE) == 0].astype(np.int64).tolist():
+                for g in grams[(grams >> np.uint64(30)) % np.uint64(LIST_SAMPLE) == 0].astype(np.int64).tolist():
                     sample[g] = sample.get(g, 0) + 1
                 if len(sample) > 100_000:
                     yield counted(sample, names, id_type, 1)
                     sample = {}
             k = len(sizes)
             none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + k)), batch.column(0), pa.array(sizes, pa.int64()), pa.array([x[0] for x in sig], pa.int64()), pa.array([x[1] for x in sig], pa.int64()), none, none, none], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + k)), batch.column(0), pa.array(sizes, pa.int64()), pa.array([x[0] for x in sig], pa.int64()), pa.array([x[1] for x in sig], pa.int64()), pa.array(bins, pa.binary()), none, none, none], names)
             row += k
         if id_type is not None:
             yield counted(dict(zip(*(x.tolist() for x in sketch.often()))), names, id_type, 0)
@@ -81,10 +106,10 @@ def _profile(df: DataFrame, n: int) -> DataFrame:
         k = len(found)
         none = pa.nulls(k, pa.int64())
         keys = pa.array(list(found), pa.int64())
-        return pa.RecordBatch.from_arrays([none, pa.nulls(k, id_type), none, none, none, none if which else keys, keys if which else none, pa.array(list(found.values()), pa.int64())], names)
+        return pa.RecordBatch.from_arrays([none, pa.nulls(k, id_type), none, none, none, pa.nulls(k, pa.binary()), none if which else keys, keys if which else none, pa.array(list(found.values()), pa.int64())], names)
 
     id_type = df.schema["id"].dataType.simpleString()
-    return df.mapInArrow(run, f"row bigint, id {id_type}, size bigint, s1 bigint, s2 bigint, slot bigint, gram bigint, count bigint")
+    return df.mapInArrow(run, f"row bigint, id {id_type}, size bigint, s1 bigint, s2 bigint, bins binary, slot bigint, gram bigint, count bigint")
 
 
 def _boundary(profile: DataFrame, percent: int) -> int:
@@ -176,7 +201,7 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
 
 
 def _sets(df: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """``node, grams`` of the given nodes (``id, s1, s2, node``), from one document of each."""
+    """``node, grams`` of the given nodes (``rep, s1, s2, node``), from one document of each."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,17 +213,31 @@ def _sets(df: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
             sig = [pa.array([int.from_bytes(x[k : k + 8], "little", signed=True) for x in d], pa.int64()) for k in (0, 8)]
             yield pa.RecordBatch.from_arrays([*sig, pa.ListArray.from_arrays(pa.array(offsets), values)], ["s1", "s2", "grams"])
 
-    some = df.join(nodes.select(F.col("rep").alias("wanted")), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
+    wanted = nodes.select(F.col("rep").alias("wanted"))
+    if nodes.count() <= MOST_SENT:
+        wanted = F.broadcast(wanted)
+    some = df.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
     made = some.select("text").mapInArrow(run, "s1 bigint, s2 bigint, grams array<bigint>")
     return made.join(nodes.select("s1", "s2", "node"), ["s1", "s2"]).dropDuplicates(["node"]).select("node", "grams")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``u, v``) whose sets reach the threshold."""
+def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (``u, v``) whose sets reach the threshold; sets are made for those alone whose histograms may."""
+    a = nodes.select(F.col("node").alias("u"), F.col("bins").alias("a"))
+    b = nodes.select(F.col("node").alias("v"), F.col("bins").alias("b"))
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        mask = [may_link(np.frombuffer(p, "<i4"), np.frombuffer(q, "<i4"), percent) for p, q in zip(x, y)]
+        return pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(mask, pa.bool_()))
+
+    likely = stored(map_batches(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b"), keep, "u bigint, v bigint"), "join-likely")
+    ends = likely.select(F.col("u").alias("node")).unionByName(likely.select(F.col("v").alias("node"))).distinct()
+    sets = stored(_sets(df, stored(nodes.drop("bins").join(ends, "node", "left_semi"), "join-wanted"), n), "join-sets")
     a = sets.select(F.col("node").alias("u"), F.col("grams").alias("a"))
     b = sets.select(F.col("node").alias("v"), F.col("grams").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(a, "u").join(b, "v").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
+    return likely.join(a, "u").join(b, "v").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
 def jaccard_join(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,14 +250,14 @@ def jaccard_join(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "do
     rows = profile.where("row is not null").select("row", "id", "size", "s1", "s2")
     lists = stored(_shared_lists(_postings(df, n, percent, boundary, order)), "join-lists")
     nodes = rows.where("size > 0").groupBy("s1", "s2").agg(F.min("row").alias("node"), F.min("id").alias("rep"))
-    in_lists = stored(nodes.join(lists.select("s1", "s2").distinct(), ["s1", "s2"]), "join-nodes")
+    met = nodes.join(lists.select("s1", "s2").distinct(), ["s1", "s2"])
+    in_lists = stored(met.join(profile.where("row is not null").select(F.col("row").alias("node"), "bins"), "node"), "join-nodes")
     members = stored(lists.join(in_lists.select("s1", "s2", "node"), ["s1", "s2"]).select("key", "size", "node"), "join-members")
-    sets = stored(_sets(df, in_lists, n), "join-sets")
     # first, each member with one pivot: of the pivots of its lists that which it meets most often
     pivots = members.groupBy("key").agg(F.min(F.struct("size", "node")).alias("p"))
     met = members.join(pivots, "key").where((F.col("node") != F.col("p.node")) & (F.col("size") * percent <= F.col("p.size") * 100)).groupBy(F.col("node").alias("u"), F.col("p.node").alias("v")).agg(F.count("*").alias("met"))
     best = met.groupBy("u").agg(F.max_by("v", F.struct("met", -F.col("v"))).alias("v"))
-    links = stored(_verified(best, sets, percent), "join-links")
+    links = stored(_verified(best, in_lists, df, n, percent), "join-links")
     labels = stored(components(links, "join-components"), "join-labels")
     reach, done = FIRST_REACH, 0
     while True:
@@ -237,7 +276,7 @@ def jaccard_join(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "do
             pairs = steps.join(b, ["key", "rv"]).where(apart)
         else:
             pairs = a.join(b, "key").where(apart & (F.col("ru") < F.col("rv")))
-        links = stored(links.unionByName(_verified(pairs.select("u", "v").distinct(), sets, percent)).distinct(), "join-links")
+        links = stored(links.unionByName(_verified(pairs.select("u", "v").distinct(), in_lists, df, n, percent)).distinct(), "join-links")
         labels = stored(components(links, "join-components"), "join-labels")
         if longest <= reach:
             break

@@ -94,26 +94,31 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` in order. Long texts are taken in segments that end at white space."""
-    if len(raw) > _SEGMENT:
-        out, at = [], 0
-        while at < len(raw):
-            end = at + _SEGMENT
-            if end < len(raw):
-                tail = raw[end - 4096 : end]
-                back = max(tail.rfind(b" "), tail.rfind(b"\n"))
-                if back >= 0:
-                    end = end - 4096 + back
-                else:
-                    stops = [x for x in (raw.find(c, end) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")) if x >= 0]
-                    end = min(stops, default=len(raw))
-            out.append(_hashes(raw[at:end]))
-            at = end
-        return np.concatenate(out)
-    return _hashes(raw)
-
-
-def _hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` in order."""
+    return sized_words(raw)[0]
+
+
+def sized_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and their bytes. Long texts are taken in segments that end at white space."""
+    if len(raw) <= _SEGMENT:
+        return _hashes(raw)
+    out, at = [], 0
+    while at < len(raw):
+        end = at + _SEGMENT
+        if end < len(raw):
+            tail = raw[end - 4096 : end]
+            back = max(tail.rfind(b" "), tail.rfind(b"\n"))
+            if back >= 0:
+                end = end - 4096 + back
+            else:
+                stops = [x for x in (raw.find(c, end) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")) if x >= 0]
+                end = min(stops, default=len(raw))
+        out.append(_hashes(raw[at:end]))
+        at = end
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+
+def _hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     import xxhash
 
     a = np.frombuffer(raw, np.uint8)
@@ -123,11 +128,11 @@ def _hashes(raw: bytes) -> np.ndarray:
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[0::2], edge[1::2]
     if not len(start):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     size = end - start
     if int(size.max()) > _SEGMENT:  # a word without end: one at a time
         each = ((raw[s:e], int(e - s)) for s, e in zip(start.tolist(), end.tolist()))
-        return np.array([xxhash.xxh3_64_intdigest(w) if n > _LONG_WORD else int(_hashes(w)[0]) for w, n in each], np.uint64)
+        return np.array([xxhash.xxh3_64_intdigest(w) if n > _LONG_WORD else int(_hashes(w)[0][0]) for w, n in each], np.uint64), size
     up, down = _powers(len(a))
     sums = np.empty(len(a) + 1, np.uint64)
     sums[0] = 0
@@ -135,7 +140,7 @@ def _hashes(raw: bytes) -> np.ndarray:
     out = mix64((sums[end] - sums[start]) * down[start] + size.astype(np.uint64))
     for k in np.flatnonzero(size > _LONG_WORD).tolist():
         out[k] = xxhash.xxh3_64_intdigest(raw[start[k] : end[k]])
-    return out
+    return out, size
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
