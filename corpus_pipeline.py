@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from mosaiq.llm.jaccard_join import jaccard_join
 from mosaiq.llm.mixing import mixed_documents
 from mosaiq.llm.packing import pack
-from mosaiq.llm.rule_ensemble import scored, train
+from mosaiq.llm.rule_ensemble import accepted, train
 from mosaiq.llm.secrets import redact
 from mosaiq.llm.textutil import default_vocabulary, documents, shared_path
 
@@ -34,16 +34,16 @@ def _with_size(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored(docs, model).where("_score >= 0.5").drop("_score")
+    return accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key = F.xxhash64("doc_id", "text")
-    keyed = docs.select(F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("doc_id"), key.alias("key")).alias("id"), "text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64("doc_id", "text").alias("_key"))
+    keyed = rows.select(F.struct(F.isnull("_row.doc_id").alias("none"), F.col("_row.doc_id").alias("doc_id"), F.col("_key").alias("key")).alias("id"), F.col("_row.text").alias("text"))
     found = jaccard_join(keyed, n=5, percent=80, id_col="id")
     # a document without words is linked with nothing and stays
     kept = found.where(F.col("id") == F.col("component_id")).select(F.col("id.key").alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mosaiq.llm.textutil import documents, map_batches, mix64, small_batches, stored
 
@@ -171,23 +172,23 @@ def cut_words(text: str, slices: list[tuple[int, int]]) -> str:
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix as rows of ``df``: for a document one row for each epoch that takes words of it, with those words as its text."""
-    names = df.columns
-    keyed = df.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    mix = mixture(keyed, id_col="_key", text_col=text_col, source_col=source_col, **options)
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    text, source = F.col(f"`{text_col}`").cast("string"), F.col(f"`{source_col}`")
+    keyed = df.select(whole, F.xxhash64(F.col(f"`{id_col}`"), text, source).alias("_key"), text.alias("_text"), source.alias("_source"))
+    mix = mixture(keyed, id_col="_key", text_col="_text", source_col="_source", **options)
     times = mix.slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
     each = mix.pieces.join(times, ["sid", "block"]).groupBy("row").agg(F.first("id").alias("_key"), F.collect_list(F.struct("at", "length", "times")).alias("_slices"), F.max("times").alias("most"))
     copies = each.select("_key", "_slices", F.explode(F.sequence(F.lit(1).cast("bigint"), "most")).alias("_copy"))
     copies = copies.select("_key", F.filter("_slices", lambda x: x["times"] >= F.col("_copy")).cast(SLICES).alias("_slices"))
-    rows = keyed.dropDuplicates(["_key"]).join(copies, "_key").select(*[F.col(f"`{c}`") for c in names], "_slices")
+    rows = keyed.dropDuplicates(["_key"]).join(copies, "_key").select("_row", "_text", "_slices")
     small_batches(df.sparkSession)
-    at = names.index(text_col)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [cut_words(t or "", [(x["at"], x["length"]) for x in s]) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
-        columns = [pa.array(found, batch.column(k).type) if k == at else batch.column(k) for k in range(len(names))]
-        return pa.RecordBatch.from_arrays(columns, names)
+        found = [cut_words(t or "", [(x["at"], x["length"]) for x in s]) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["_row", "_text"])
 
-    return map_batches(rows, cut, df.schema)
+    out = map_batches(rows, cut, T.StructType([rows.schema["_row"], T.StructField("_text", T.StringType())]))
+    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,14 +209,20 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scored(df: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
-    """``df`` with ``_score``, the chance of label 1."""
-    return with_statistics(df, text_col).select(*[F.col(f"`{c}`") for c in df.columns], model.score().alias("_score"))
+    """``row`` (the whole row of ``df``, whatever its columns are named) and ``score``, the chance of label 1."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return with_statistics(rows, "text").select("row", model.score().alias("score"))
+
+
+def accepted(df: DataFrame, model: RuleModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``df`` that score ``least`` or more."""
+    return scored(df, model, text_col).where(F.col("score") >= least).select("row.*")
 
 
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, held_out, score, predicted`` of every row."""
     named = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    score = scored(named, train(df, labels, id_col, text_col)).select("id", F.col("_score").alias("score"))
+    score = scored(named, train(df, labels, id_col, text_col)).select(F.col("row.id").alias("id"), "score")
     return score.select("id", held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
