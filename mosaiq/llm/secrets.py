@@ -29,6 +29,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 LEAST_VALUE, LEAST = 12, 20
+CHUNK = 256
 MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9]|[A-Za-z0-9+/_-]*[a-z][A-Z])[A-Za-z0-9+/_-]{20,}={0,2}"
 # (name, characters, size of the alphabet, chance of classes' change in text, chance that two characters of text are equal)
 ENCODINGS = [
@@ -54,14 +55,24 @@ def _phi(z: Column) -> Column:
     return 1 / (1 + F.exp(-F.least(F.greatest(1.5976 * z + 0.07056 * z * z * z, F.lit(-600.0)), F.lit(600.0))))
 
 
-def _spans(matches: str, between: str, kind: int) -> Column:
-    """Structs (start, kind, end, text) of a pattern's matches; starts from the lengths of what lies between them."""
+def _with_starts(t: DataFrame, name: str, pattern: str) -> DataFrame:
+    """Columns for the places of a pattern's matches: what lies between them, the lengths of each gap and match, and sums of ``CHUNK`` of them, so that a place costs a chunk and the chunks before, not all before."""
+    t = t.withColumn(f"_{name}_between", F.when(F.size(f"_{name}") > 0, F.transform(F.split("_text", pattern, -1), F.length)))
+    gaps = F.zip_with(F.slice(f"_{name}_between", 1, F.size(f"_{name}")), F.transform(f"_{name}", F.length), lambda a, b: a + b)
+    t = t.withColumn(f"_{name}_gaps", gaps)
+    sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(f"_{name}") - 1) / CHUNK).cast("int")), lambda k: _sum(F.slice(F.col(f"_{name}_gaps"), k * CHUNK + 1, F.lit(CHUNK))))
+    return t.withColumn(f"_{name}_sums", F.when(F.size(f"_{name}") > 0, sums))
+
+
+def _spans(name: str, kind: int) -> Column:
+    """Structs (start, kind, end, text) of a pattern's matches."""
 
     def one(m: Column, i: Column) -> Column:
-        start = _sum(F.transform(F.slice(between, 1, i + 1), F.length)) + _sum(F.transform(F.slice(matches, 1, i), F.length))
+        k = F.floor(i / CHUNK).cast("int")
+        start = _sum(F.slice(f"_{name}_sums", 1, k)) + _sum(F.slice(F.col(f"_{name}_gaps"), k * CHUNK + 1, i - k * CHUNK)) + F.get(f"_{name}_between", i)
         return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(m)).alias("end"), m.alias("text"))
 
-    return F.transform(F.col(matches), one)
+    return F.transform(F.col(f"_{name}"), one)
 
 
 def _chance(s: Column) -> Column:
@@ -102,12 +113,14 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: boo
         t = t.withColumn(f"_{name}", F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)))
     t = t.withColumn("_value", F.when(F.size("_assign") > 0, F.regexp_extract_all("_text", F.lit(ASSIGN), F.lit(2))))
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("mixed", MIXED)):
-        t = t.withColumn(f"_{name}_between", F.when(F.size(f"_{name}") > 0, F.split("_text", pattern, -1)))
+        t = _with_starts(t, name, pattern)
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,text:string>>")
-    spans = {name: F.when(F.size(f"_{name}") > 0, _spans(f"_{name}", f"_{name}_between", k)).otherwise(none) for k, name in enumerate(("assign", "access", "hex", "mixed"))}
+    spans = {name: F.when(F.size(f"_{name}") > 0, _spans(name, k)).otherwise(none) for k, name in enumerate(("assign", "access", "hex", "mixed"))}
     long_value = F.filter(spans["assign"], lambda x, i: F.length(F.get(F.col("_value"), i)) >= LEAST_VALUE)
-    t = t.select("id", *keep, F.array_sort(F.concat(long_value, spans["access"], spans["hex"])).alias("base"), spans["mixed"].alias("_m"))
-    clear = F.filter("_m", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    t = t.select("id", *keep, F.array_sort(F.concat(long_value, spans["access"], spans["hex"])).alias("base"), long_value.alias("_assigned"), spans["mixed"].alias("_m"))
+    # hex and access spans lie inside a candidate's text whole; assignments may begin before it
+    bare = F.filter("_m", lambda x: ~x["text"].rlike(HEX) & ~x["text"].rlike(ACCESS))
+    clear = F.filter(bare, lambda x: ~F.exists("_assigned", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     mixed = F.transform(clear, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _chance(x["text"]).alias("chance"), _length_class(x["end"] - x["start"]).alias("class")))
     bare = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     return t.select("id", *keep, bare.alias("base"), mixed.alias("mixed"))
