@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.llm.textutil import stored
 
 
+SMALL = 500_000  # edges that one task joins, 8 MB; more are joined in steps of all tasks
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over at most ``SMALL`` edges."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while parent.setdefault(top, top) != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    if parent:
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "label"])
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``node, label`` of every node of ``edges`` (``u, v`` bigint); the label is the component's smallest node.
 
-    Large-star and small-star steps in turn: a step needs one aggregation by node, edges never outnumber the
+    Up to ``SMALL`` edges are joined by one task. Beyond, large-star and small-star steps in turn: a step needs one aggregation by node, edges never outnumber the
     input's, and the number of steps grows with the logarithm of a component's size. An empty table gives no rows.
     """
     e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
+    if e.count() <= SMALL:
+        return e.coalesce(1).mapInArrow(_joined, "node bigint, label bigint")
     before = None
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -35,7 +35,7 @@ from mosaiq.llm.textutil import documents, map_batches, raw_texts, shingles, siz
 
 LARGEST_SMALL = 512  # the boundary is looked for up to this size
 LIST_SAMPLE = 4096  # one of so many n-grams is counted for the cost of scanning a list
-FIRST_REACH = 32
+FIRST_REACH = 4
 MOST_SENT = 500_000  # nodes whose ids are broadcast; more are joined by shuffle
 
 
@@ -240,6 +240,29 @@ def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, n: int, percent
     return likely.join(a, "u").join(b, "v").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
+def _near_pairs(members: DataFrame, least: int, reach: int, percent: int) -> DataFrame:
+    """Pairs (``u, v``) of a list's members of different components whose sizes allow a link and whose places in the list are ``least`` up to less than ``reach`` apart; one scan of the sorted rows that holds ``reach`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, 4), np.int64)
+        for batch in batches:
+            new = len(held)
+            x = np.concatenate([held, np.column_stack([c.to_numpy() for c in batch.columns])])
+            found = []
+            for d in range(least, min(reach, len(x))):
+                a, b = x[:-d], x[d:]
+                ok = (a[:, 0] == b[:, 0]) & (a[:, 3] != b[:, 3]) & (b[:, 1] * percent <= a[:, 1] * 100)
+                ok[: max(0, new - d)] = False  # the later row was in the batch before
+                if ok.any():
+                    found.append(np.column_stack([a[ok, 2], b[ok, 2]]))
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
+            held = x[-(reach - 1) :] if reach > 1 else x[:0]
+
+    return members.repartition("key").sortWithinPartitions("key", "size", "node").select("key", "size", "node", "label").mapInArrow(run, "u bigint, v bigint")
+
+
 def jaccard_join(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row, id, n_shingles, component_id`` of every row; ``row`` tells repeated ids apart."""
     spark = df.sparkSession
@@ -262,37 +285,23 @@ def jaccard_join(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "do
     reach, done = FIRST_REACH, 0
     while True:
         labelled = members.join(labels, "node", "left").select("key", "size", "node", F.coalesce("label", "node").alias("label"))
-        open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("length")).where((F.col("lo") != F.col("hi")) & (F.col("length") > done)).select("key", "length")
-        part = stored(labelled.join(open_, "key"), "join-open")
+        open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("length")).where((F.col("lo") != F.col("hi")) & (F.col("length") > done))
+        part = stored(labelled.join(open_.select("key", "length"), "key"), "join-open")
         longest = part.agg(F.max("length")).first()[0]
         if longest is None:
             break
-        ranked = part.withColumn("rank", F.row_number().over(_by_key())) if longest > FIRST_REACH else part.withColumn("rank", F.struct("size", "node"))
-        a = ranked.select("key", F.col("node").alias("u"), F.col("label").alias("lu"), F.col("size").alias("nu"), F.col("rank").alias("ru"))
-        b = ranked.select("key", F.col("node").alias("v"), F.col("label").alias("lv"), F.col("size").alias("nv"), F.col("rank").alias("rv"))
-        apart = (F.col("lu") != F.col("lv")) & (F.col("nv") * percent <= F.col("nu") * 100)
-        if longest > FIRST_REACH:
-            steps = a.withColumn("rv", F.explode(F.sequence(F.col("ru") + (done or 1), F.col("ru") + (reach - 1))))
-            pairs = steps.join(b, ["key", "rv"]).where(apart)
-        else:
-            pairs = a.join(b, "key").where(apart & (F.col("ru") < F.col("rv")))
-        links = stored(links.unionByName(_verified(pairs.select("u", "v").distinct(), in_lists, df, n, percent)).distinct(), "join-links")
+        pairs = _near_pairs(part.select("key", "size", "node", "label"), max(done, 1), reach, percent).distinct()
+        links = stored(links.unionByName(_verified(pairs, in_lists, df, n, percent)).distinct(), "join-links")
         labels = stored(components(links, "join-components"), "join-labels")
         if longest <= reach:
             break
-        reach, done = 2 * reach, reach
+        reach, done = 4 * reach, reach
     classes = nodes.join(labels, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("label"))
     classed = rows.join(classes, ["s1", "s2"], "left").withColumn("label", F.when(F.col("size") > 0, F.col("label")).otherwise(F.col("row")))
     least = classed.groupBy("label").agg(F.min("id").alias("component_id"))
     return classed.join(least, "label").select("row", "id", F.col("size").alias("n_shingles"), "component_id")
 
 
-def _by_key():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("key").orderBy("size", "node")
-
-
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
