@@ -6,16 +6,18 @@ a <= l <= c <= r <= b, which share c's min-hash. Only nodes that span a passage'
 are the minima of the sliding windows of that length, and their bounds the nearest smaller ones among them.
 A passage that two documents share is inside one window of each with the same min-hash, for every function.
 
-Windows meet by hash. In a list of windows with one hash each is paired with one pivot window, and windows of a
-pair of documents that overlap on both sides are joined; passages around them are then verified: the best run
+Windows meet by hash and by a token beside c, on either side. In a list of such windows each is paired with one pivot window,
+and windows of a pair of documents are joined on both sides; passages around them are then verified: the best run
 around the shared token in which nearly all tokens occur in the other window, of ``LEAST`` words or more, and with
 a Jaccard similarity of ``SIMILARITY`` or more of the two runs' tokens. Windows that found no passage with
 their pivot go on with another pivot, and after ``ROUNDS`` rounds with all others of their list. Token ranks
-put rare tokens first (by a sketch of fixed size), so that lists of unrelated windows stay short; any order is right.
+put rare tokens first (by a sketch of fixed size): lists of unrelated windows stay short, and a window's list holds
+the documents that share the rarest part of it.
 
-Exactly repeated passages are always found; a near one at similarity s with chance 1 - (1 - s)**HASHES or more.
-Null and empty texts have no passages, nor have texts shorter than ``LEAST`` words. Repeated rows have passages
-as copies do if their ids differ; rows equal in id and text count as one document and each get its result.
+Exactly repeated passages are always found; each ends where its pivot's copy ends. Near copies are found by their unchanged stretches of ``LEAST`` words
+and, with a chance that rises with their similarity, across changes whose tokens are no rarer than the passage's.
+Null and empty texts have no passages, nor have texts shorter than ``LEAST`` words. Rows of equal text are one
+document, repeated as a whole if it has ``LEAST`` words, and each row gets the result.
 An empty table gives no rows. Only the named columns are read.
 """
 
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 from mosaiq.llm.sketch import levels, rare_first, slot_counts
 from mosaiq.llm.textutil import documents, map_batches, mix64, raw_texts, shingles, small_batches, stored, word_hashes
 
-WIDTH, LEAST, HASHES, SIMILARITY, ROUNDS = 5, 50, 3, 0.8, 3
+WIDTH, LEAST, HASHES, SIMILARITY, ROUNDS = 5, 50, 2, 0.8, 3
+MOST_SENT = 500_000  # documents whose keys are broadcast; more are joined by shuffle
 MISMATCH = 8  # what a token that is not in the other window costs a run, in tokens that are
+WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = "key bigint, doc bigint, a int, c int, b int"
 PAIR = "key bigint, doc bigint, a int, c int, b int, pdoc bigint, pa int, pc int, pb int"
 
@@ -81,7 +85,10 @@ def _windows(df: DataFrame, order: np.ndarray, least: int, hashes: int) -> DataF
             for i in range(hashes):
                 h = mix64(t ^ np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64))
                 a, c, b = compact_windows(rare_first(h, t, rare), least)
-                out.append((h[c].view(np.int64), np.full(len(c), doc, np.int64), a, c, b))
+                for step, salt in ((1, 0x9E3779B97F4A7C15), (-1, 0xC2B2AE3D27D4EB4F)):  # a passage holds one neighbour of c at least
+                    ok = (c + step >= 0) & (c + step < len(t))
+                    key = mix64(h[c[ok]] + t[c[ok] + step] * np.uint64(salt)).view(np.int64)
+                    out.append((key, np.full(len(key), doc, np.int64), a[ok], c[ok], b[ok]))
         cols = [np.concatenate([x[k] for x in out]) for k in range(5)] if out else [np.empty(0, d) for d in (np.int64, np.int64, np.int32, np.int32, np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "doc", "a", "c", "b"])
 
@@ -89,21 +96,35 @@ def _windows(df: DataFrame, order: np.ndarray, least: int, hashes: int) -> DataF
 
 
 def _paired(windows: DataFrame) -> DataFrame:
-    """Each window of a list with the first window of its first document, if that is another document: one scan of the sorted rows that holds one row."""
+    """Each window of a list with the first window of its first document, if that is another document, and the first document's other windows with the second's first: one scan of the sorted rows that holds the open list's windows of one document."""
     names = ["key", "doc", "a", "c", "b", "pdoc", "pa", "pc", "pb"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot = np.empty((0, 5), np.int64)  # of the open key
+        held, met = np.empty((0, 5), np.int64), False  # the first document's windows of the open key; whether a second one was met
         for batch in batches:
-            x = np.concatenate([pivot, np.column_stack([c.to_numpy().astype(np.int64) for c in batch.columns])])
+            before = held[0, 0] if len(held) else None
+            x = np.concatenate([held, np.column_stack([c.to_numpy().astype(np.int64) for c in batch.columns])])
             new = np.ones(len(x), bool)
             new[1:] = x[1:, 0] != x[:-1, 0]
-            first = x[np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))]
-            z = np.column_stack([x, first[:, 1:]])[x[:, 1] != first[:, 1]]
+            at = np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+            first = x[at]
+            other = x[:, 1] != first[:, 1]
+            z = [np.column_stack([x, first[:, 1:]])[other]]
+            for start in np.unique(at[~other & ~new]).tolist():  # lists whose first document has several windows
+                if met and start == 0 and x[0, 0] == before:
+                    continue
+                end = start + int(np.searchsorted(at[start:], start, side="right"))
+                second = np.flatnonzero(other[start:end])
+                if len(second):
+                    mine, row = x[start + 1 : start + second[0]], x[start + second[0]]
+                    z.append(np.column_stack([np.repeat(row[None], len(mine), axis=0), mine[:, 1:]]))
+            z = np.concatenate(z)
             if len(z):
                 types = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.int64(), *[pa.int32()] * 3]
                 yield pa.RecordBatch.from_arrays([pa.array(z[:, k].copy()).cast(t) for k, t in enumerate(types)], names)
-            pivot = first[-1:]
+            last = int(at[-1])
+            met = bool(other[last:].any()) or (met and x[last, 0] == before)
+            held = x[last : last + 1] if met else x[last:]
 
     return windows.repartition("key").sortWithinPartitions("key", "doc", "c", "a").mapInArrow(run, PAIR)
 
@@ -142,6 +163,8 @@ def _arrays(df: DataFrame, docs: DataFrame) -> DataFrame:
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in t])]).astype(np.int32)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(t)))], ["doc", "t"])
 
+    if docs.count() <= MOST_SENT:
+        docs = F.broadcast(docs)
     some = df.select("doc", "text").join(docs, "doc", "left_semi").dropDuplicates(["doc"])
     return map_batches(some, make, "doc bigint, t array<int>")
 
@@ -189,15 +212,16 @@ def _all_pairs(windows: DataFrame) -> DataFrame:
     return windows.join(p, "key").where("pdoc < doc").select("key", "doc", "a", "c", "b", "pdoc", "pa", "pc", "pb")
 
 
-def passages(df: DataFrame, least_words: int = LEAST, hashes: int = HASHES, similarity: float = SIMILARITY, enough: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc, first, end, other``: passages (words, end exclusive) of documents that occur nearly the same in ``other``; ``doc`` is ``xxhash64(id, text)``."""
+def passages(df: DataFrame, least_words: int = LEAST, hashes: int = HASHES, similarity: float = SIMILARITY, enough: int = 1, text_col: str = "text") -> DataFrame:
+    """``doc, first, end, other``: passages (words, end exclusive) of documents that occur nearly the same in ``other``; ``doc`` is ``xxhash64(text)``, so equal texts are one document."""
     small_batches(df.sparkSession, 500)
     text = F.col(text_col).cast("string")
-    keyed = df.select(F.xxhash64(F.col(id_col), text).alias("doc"), text.alias("text"))
+    keyed = df.select(F.xxhash64(text).alias("doc"), text.alias("text"))
     least = max(1, least_words - WIDTH + 1)
     order = levels(slot_counts(keyed.select("text"), tokens))
     pairs = stored(_paired(_windows(keyed, order, least, hashes)), "windows")
-    arrays = stored(_arrays(keyed, pairs.select("doc").unionByName(pairs.select(F.col("pdoc").alias("doc"))).distinct()), "window-tokens")
+    docs = stored(pairs.select("doc").unionByName(pairs.select(F.col("pdoc").alias("doc"))).distinct(), "window-docs")
+    arrays = stored(_arrays(keyed, docs), "window-tokens")
     done, turn = None, 0
     while True:
         turn += 1
@@ -215,10 +239,13 @@ def passages(df: DataFrame, least_words: int = LEAST, hashes: int = HASHES, simi
 
 def duplicate_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``id, n_passages, n_dup_words, spans, partner`` of every row: the union of its passages as first:end words, and the id of a document that holds one of them too."""
-    text = F.col(text_col).cast("string")
-    ids = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("doc"))
-    found = passages(df, id_col=id_col, text_col=text_col, **options)
-    by_doc = found.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("s"), F.min("other").alias("other"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    ids = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("doc"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("n"))
+    found = passages(df, text_col=text_col, **options).select("doc", "first", "end", "other")
+    partner = ids.groupBy("doc").agg(F.min("id").alias("partner"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    # a text that several rows have is a passage as a whole
+    copies = partner.where(F.col("copies") > 1).where(F.col("n") >= options.get("least_words", LEAST)).select("doc", F.lit(0).cast("bigint").alias("first"), F.col("n").alias("end"), F.col("doc").alias("other"))
+    by_doc = found.unionByName(copies).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("s"), F.min("other").alias("other"))
     union = F.aggregate(
         "s",
         F.array().cast("array<struct<first:bigint,end:bigint>>"),
@@ -228,8 +255,7 @@ def duplicate_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         ).otherwise(F.concat(done, F.array(x))),
     )
     merged = by_doc.select("doc", union.alias("u"), "other")
-    partner = ids.groupBy("doc").agg(F.min("id").alias("partner")).withColumnRenamed("doc", "other")
-    merged = merged.join(partner, "other", "left")
+    merged = merged.join(partner.select(F.col("doc").alias("other"), "partner"), "other", "left")
     words = F.aggregate("u", F.lit(0).cast("bigint"), lambda n, x: n + x["end"] - x["first"])
     written = F.array_join(F.transform("u", lambda x: F.concat_ws(":", x["first"], x["end"])), ",")
     return ids.join(merged, "doc", "left").select("id", F.coalesce(F.size("u"), F.lit(0)).cast("bigint").alias("n_passages"), F.coalesce(words, F.lit(0)).cast("bigint").alias("n_dup_words"), F.coalesce(written, F.lit("")).alias("spans"), "partner")
