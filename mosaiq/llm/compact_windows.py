@@ -10,7 +10,7 @@ Windows meet by hash and by a token beside c, on either side. In a list of such
 and windows of a pair of documents are joined on both sides; passages around them are then verified: the best run
 around the shared token in which nearly all tokens occur in the other window, of ``LEAST`` words or more, and with
 a Jaccard similarity of ``SIMILARITY`` or more of the two runs' tokens. Windows that found no passage with
-their pivot go on with another pivot, and after ``ROUNDS`` rounds with all others of their list. Token ranks
+their pivot meet all others of their list, those that matched too. Token ranks
 put rare tokens first (by a sketch of fixed size): lists of unrelated windows stay short, and a window's list holds
 the documents that share the rarest part of it.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from mosaiq.llm.sketch import levels, rare_first, slot_counts
 from mosaiq.llm.textutil import documents, map_batches, mix64, raw_texts, shingles, small_batches, stored, word_hashes
 
-WIDTH, LEAST, HASHES, SIMILARITY, ROUNDS = 5, 50, 2, 0.8, 3
+WIDTH, LEAST, HASHES, SIMILARITY = 5, 50, 2, 0.8
 MOST_SENT = 500_000  # documents whose keys are broadcast; more are joined by shuffle
 MISMATCH = 8  # what a token that is not in the other window costs a run, in tokens that are
 WORD = r"[^\x20\x09-\x0D]+"
@@ -172,7 +172,7 @@ def _arrays(df: DataFrame, docs: DataFrame) -> DataFrame:
 def _verify(pairs: DataFrame, arrays: DataFrame, least: int, similarity: float, enough: int) -> DataFrame:
     """``doc, l, r, other`` of verified passages on both sides, and ``key, doc, a, c, b`` of windows of ``doc`` that found none."""
     w = F.struct("key", "a", "c", "b", "pa", "pc", "pb")
-    grouped = pairs.groupBy("doc", "pdoc").agg(F.collect_list(w).alias("w"))  # as many as one document has windows
+    grouped = pairs.groupBy("doc", "pdoc").agg(F.collect_set(w).alias("w"))  # as many as one document has windows
     both = grouped.join(arrays, "doc").join(arrays.select(F.col("doc").alias("pdoc"), F.col("t").alias("pt")), "pdoc").select("doc", "pdoc", "w", "t", "pt")
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -206,10 +206,16 @@ def _verify(pairs: DataFrame, arrays: DataFrame, least: int, similarity: float,
     return map_batches(both, make, "key bigint, doc bigint, a int, c int, b int, l int, r int, other bigint")
 
 
-def _all_pairs(windows: DataFrame) -> DataFrame:
-    """Every two windows of a list that are of different documents: for the few that are left after the rounds."""
-    p = windows.select("key", F.col("doc").alias("pdoc"), F.col("a").alias("pa"), F.col("c").alias("pc"), F.col("b").alias("pb"))
-    return windows.join(p, "key").where("pdoc < doc").select("key", "doc", "a", "c", "b", "pdoc", "pa", "pc", "pb")
+def _others(failed: DataFrame, windows: DataFrame) -> DataFrame:
+    """Every window of ``failed`` with all windows of its lists that are of other documents, whether they matched or not; two failed ones meet once."""
+    failed = failed.distinct()
+    mine = failed.select("key", *[F.col(x).alias(f"f{x}") for x in ("doc", "a", "c", "b")])
+    listed = windows.join(failed.select("key").distinct(), "key", "left_semi")
+    met = mine.join(listed, "key").where("fdoc <> doc")
+    later = F.col("fdoc") > F.col("doc")
+    side = lambda p, x: F.when(later, F.col(p)).otherwise(F.col(x))
+    names = ("doc", "a", "c", "b")
+    return met.select("key", *[side(f"f{x}", x).alias(x) for x in names], *[side(x, f"f{x}").alias(f"p{x}") for x in names])
 
 
 def passages(df: DataFrame, least_words: int = LEAST, hashes: int = HASHES, similarity: float = SIMILARITY, enough: int = 1, text_col: str = "text") -> DataFrame:
@@ -219,21 +225,14 @@ def passages(df: DataFrame, least_words: int = LEAST, hashes: int = HASHES, simi
     keyed = df.select(F.xxhash64(text).alias("doc"), text.alias("text"))
     least = max(1, least_words - WIDTH + 1)
     order = levels(slot_counts(keyed.select("text"), tokens))
-    pairs = stored(_paired(_windows(keyed, order, least, hashes)), "windows")
+    windows = _windows(keyed, order, least, hashes)
+    pairs = stored(_paired(windows), "windows")
     docs = stored(pairs.select("doc").unionByName(pairs.select(F.col("pdoc").alias("doc"))).distinct(), "window-docs")
     arrays = stored(_arrays(keyed, docs), "window-tokens")
-    done, turn = None, 0
-    while True:
-        turn += 1
-        out = stored(_verify(pairs, arrays, least, similarity, enough), "window-verified")
-        spans = out.where("l is not null").select("doc", "l", "r", "other")
-        done = spans if done is None else done.unionByName(spans)
-        if turn > ROUNDS:
-            break
-        left = out.where("key is not null").select("key", "doc", "a", "c", "b")
-        pairs = stored(_paired(left) if turn < ROUNDS else _all_pairs(left), "windows")
-        if pairs.isEmpty():
-            break
+    first = stored(_verify(pairs, arrays, least, similarity, enough), "window-verified")
+    failed = first.where("key is not null").select("key", "doc", "a", "c", "b")
+    rest = stored(_verify(_others(failed, windows), arrays, least, similarity, enough), "window-verified")
+    done = first.unionByName(rest).where("l is not null")
     return done.select("doc", F.col("l").cast("bigint").alias("first"), (F.col("r") + WIDTH).cast("bigint").alias("end"), "other")
 
 

@@ -458,6 +458,17 @@ def test_passages_cover_exact_repeats_and_near_ones(spark):
     assert clean and not any(got[k]["spans"] for k in clean)
 
 
+def test_passages_cover_staggered_excerpts(spark):
+    rng, docs = random.Random(4), []
+    for k in range(80):
+        text = [f"s{rng.randrange(10**9)}" for _ in range(56)]
+        for n, part in enumerate((text, text[:52], text[3:55])):
+            docs.append((3 * k + n, " ".join([f"f{rng.randrange(10**9)}" for _ in range(rng.randint(0, 9))] + part)))
+    got = {r["id"]: covered(r["spans"]) for r in compact_windows.duplicate_passages(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()}
+    want = passages_by_brute_force(docs)
+    assert len(want) == len(docs) and not [k for k, places in want.items() if not got[k]]
+
+
 def test_passages_odd_rows(odd, odd_rows, empty):
     got = defaultdict(set)
     rows = compact_windows.duplicate_passages(odd).collect()
