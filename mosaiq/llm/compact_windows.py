@@ -7,15 +7,15 @@ are the minima of the sliding windows of that length, and their bounds the neare
 A passage that two documents share is inside one window of each with the same min-hash, for every function.
 
 Windows meet by hash and by a token beside c, on either side. In a list of such windows each is paired with one pivot window,
-and windows of a pair of documents are joined on both sides; passages around them are then verified: the best run
-around the shared token in which nearly all tokens occur in the other window, of ``LEAST`` words or more, and with
-a Jaccard similarity of ``SIMILARITY`` or more of the two runs' tokens. Windows that found no passage with
+and windows of a pair of documents are joined on both sides; passages around them are then verified: blocks of equal
+tokens are followed from the shared token to both sides, and of the stretches from a block's start to a block's end, of
+``LEAST`` words or more, those with a Jaccard similarity of ``SIMILARITY`` or more are passages, whatever lies between. Windows that found no passage with
 their pivot meet all others of their list, those that matched too. Token ranks
 put rare tokens first (by a sketch of fixed size): lists of unrelated windows stay short, and a window's list holds
 the documents that share the rarest part of it.
 
-Exactly repeated passages are always found; each ends where its pivot's copy ends. Near copies are found by their unchanged stretches of ``LEAST`` words
-and, with a chance that rises with their similarity, across changes whose tokens are no rarer than the passage's.
+Exactly repeated passages are always found; each ends where its pivot's copy ends. Near copies are found
+with a chance that rises with their similarity and with ``HASHES``: a function must have its smallest token, and one beside it, unchanged.
 Null and empty texts have no passages, nor have texts shorter than ``LEAST`` words. Rows of equal text are one
 document, repeated as a whole if it has ``LEAST`` words, and each row gets the result.
 An empty table gives no rows. Only the named columns are read.
@@ -35,7 +35,6 @@ from mosaiq.llm.textutil import documents, map_batches, mix64, raw_texts, shingl
 
 WIDTH, LEAST, HASHES, SIMILARITY = 5, 50, 2, 0.8
 MOST_SENT = 500_000  # documents whose keys are broadcast; more are joined by shuffle
-MISMATCH = 8  # what a token that is not in the other window costs a run, in tokens that are
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = "key bigint, doc bigint, a int, c int, b int"
 PAIR = "key bigint, doc bigint, a int, c int, b int, pdoc bigint, pa int, pc int, pb int"
@@ -129,30 +128,66 @@ def _paired(windows: DataFrame) -> DataFrame:
     return windows.repartition("key").sortWithinPartitions("key", "doc", "c", "a").mapInArrow(run, PAIR)
 
 
-def _best_run(found: np.ndarray, c: int) -> tuple[int, int]:
-    """The run around c with the largest sum of matches less ``MISMATCH`` for each other token."""
-    score = np.where(found, 1, -MISMATCH)
-    right, left = np.cumsum(score[c:]), np.cumsum(score[c::-1])
-    r = c + int(len(right) - 1 - right[::-1].argmax())
-    return c - int(len(left) - 1 - left[::-1].argmax()), r
-
-
-def verified(x: np.ndarray, y: np.ndarray, window: tuple[int, ...], least: int, similarity: float) -> tuple[int, int, int, int] | None:
-    """(l, r) in x and in y of the near-duplicate passage around a pair of windows (a, c, b) and (pa, pc, pb), in tokens, ends inside."""
+def _ends(u: np.ndarray, v: np.ndarray, most: float) -> np.ndarray:
+    """``i, j, matched`` at the ends of the blocks of equal tokens from the shared first token on, until more than ``most`` tokens are unmatched; the next block is the nearest."""
+    out, i, j, matched = [], 0, 0, 0
+    while True:
+        step = 64
+        while True:
+            n = min(step, len(u) - i, len(v) - j)
+            differ = u[i : i + n] != v[j : j + n]
+            k = int(differ.argmax()) if differ.any() else n
+            i, j, matched = i + k, j + k, matched + k
+            if k < step:
+                break
+            step *= 2
+        out.append((i - 1, j - 1, matched))
+        left, g, gap = most - (i - matched) - (j - matched), 16, None
+        while left > 0 and i < len(u) and j < len(v):
+            _, p, q = np.intersect1d(u[i : i + g], v[j : j + g], return_indices=True)
+            if len(p) and ((p + q).min() < g or g > left):
+                gap = int((p + q).argmin())
+                break
+            if g > left:
+                break
+            g *= 4
+        if gap is None or p[gap] + q[gap] > left:
+            return np.array(out)
+        i, j = i + int(p[gap]), j + int(q[gap])
+
+
+def verified(x: np.ndarray, y: np.ndarray, window: tuple[int, ...], least: int, similarity: float) -> list[tuple[int, int, int, int]]:
+    """(l, r) in x and in y, in tokens, ends inside, of the near-duplicate passages around a pair of windows (a, c, b) and (pa, pc, pb): the one that reaches farthest left and the one that reaches farthest right."""
     a, c, b, pa_, pc, pb = window
+    if x[c] != y[pc]:
+        return []
     left, right = min(c - a, pc - pa_), min(b - c, pb - pc)
     left, right = left + left // 4 + 8, right + right // 4 + 8  # words may be put in
     a, b, pa_, pb = max(a, c - left), min(b, c + right), max(pa_, pc - left), min(pb, pc + right)
     u, v = x[a : b + 1], y[pa_ : pb + 1]
-    l1, r1 = _best_run(np.isin(u, v), c - a)
-    l2, r2 = _best_run(np.isin(v, u), pc - pa_)
-    if min(r1 - l1, r2 - l2) + 1 < least:
-        return None
-    p, q = np.unique(u[l1 : r1 + 1]), np.unique(v[l2 : r2 + 1])
-    both = len(np.intersect1d(p, q, assume_unique=True))
-    if both < similarity * (len(p) + len(q) - both):
-        return None
-    return a + l1, a + r1, pa_ + l2, pa_ + r2
+    common = min(int(np.isin(u, v).sum()), int(np.isin(v, u).sum()))
+    if common * (1 + similarity) < 2 * similarity * least:
+        return []
+    most = common * (1 - similarity) / similarity
+    before, after = _ends(u[c - a :: -1], v[pc - pa_ :: -1], most), _ends(u[c - a :], v[pc - pa_ :], most)
+    n, m, both = (before[:, None, k] + after[None, :, k] + (1, 1, -1)[k] for k in range(3))
+    near = (np.minimum(n, m) >= least) & (both >= similarity * (n + m - both))
+
+    def similar(l: int, r: int) -> bool:
+        if both[l, r] == n[l, r] == m[l, r]:
+            return True
+        p, q = (np.unique(z[k - before[l, i] : k + after[r, i] + 1]) for z, k, i in ((x, c, 0), (y, pc, 1)))
+        shared = len(np.intersect1d(p, q, assume_unique=True))
+        return shared >= similarity * (len(p) + len(q) - shared)
+
+    found = {}
+    places = np.argwhere(near)
+    for order in (np.lexsort((places[:, 1], places[:, 0])), np.lexsort((places[:, 0], places[:, 1]))):
+        for l, r in places[order[::-1]].tolist():
+            if (l, r) in found or similar(l, r):
+                found[l, r] = (c - int(before[l, 0]), c + int(after[r, 0]), pc - int(before[l, 1]), pc + int(after[r, 1]))
+                break
+    return list(found.values())
 
 
 def _arrays(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -187,9 +222,9 @@ def _verify(pairs: DataFrame, arrays: DataFrame, least: int, similarity: float,
                 overlapping = sum(v[0] <= window[1] <= v[2] and v[3] <= window[4] <= v[5] for v, _ in windows) if enough > 1 else 1
                 if any(l1 <= window[1] <= r1 and l2 <= window[4] <= r2 for l1, r1, l2, r2 in found):
                     continue
-                got = verified(x, y, window, least, similarity) if overlapping >= enough else None
+                got = verified(x, y, window, least, similarity) if overlapping >= enough else []
                 if got:
-                    found.append(got)
+                    found += got
                 else:
                     rest.append((key, doc[k], *window[:3]))
             spans += [(doc[k], l1, r1, pdoc[k]) for l1, r1, _, _ in found] + [(pdoc[k], l2, r2, doc[k]) for _, _, l2, r2 in found]

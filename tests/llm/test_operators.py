@@ -469,6 +469,30 @@ def test_passages_cover_staggered_excerpts(spark):
     assert len(want) == len(docs) and not [k for k, places in want.items() if not got[k]]
 
 
+def test_verified_passages_by_brute_force():
+    rng, seen = random.Random(5), []
+    fresh = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    tokens = lambda w: compact_windows.tokens(" ".join(w).encode())
+    for _ in range(60):
+        a = fresh(rng.randint(60, 220))
+        b, at = list(a), rng.randint(5, 40)
+        while at < len(a):
+            b[at] = fresh(1)[0]
+            at += rng.randint(30, 45)
+        x, y = tokens(a), tokens(b)
+        same = x == y
+        c = int(rng.choice(np.flatnonzero(same).tolist()))
+        total = np.concatenate([[0], np.cumsum(same)])
+        # words are unique and only replaced, so passages are the same places of both; their ends are equal tokens
+        want = [(l, r) for l in range(c + 1) if same[l] for r in range(max(c, l + 45), len(x)) if same[r] and (total[r + 1] - total[l]) >= 0.8 * (2 * (r - l + 1) - (total[r + 1] - total[l]))]
+        got = compact_windows.verified(x, y, (0, c, len(x) - 1, 0, c, len(y) - 1), 46, 0.8)
+        assert bool(got) == bool(want) and all(g[:2] == g[2:] and g[:2] in want for g in got)
+        if want:
+            assert min(g[0] for g in got) == min(l for l, _ in want) and max(g[1] for g in got) == max(r for _, r in want)
+        seen.append(bool(want))
+    assert sum(seen) > 20
+
+
 def test_passages_odd_rows(odd, odd_rows, empty):
     got = defaultdict(set)
     rows = compact_windows.duplicate_passages(odd).collect()
