@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from mosaiq.llm.sketch import levels, rare_first, slot_counts
 from mosaiq.llm.textutil import documents, map_batches, mix64, raw_texts, shingles, small_batches, stored, word_hashes
 
-WIDTH, LEAST, HASHES, SIMILARITY = 5, 50, 2, 0.8
+WIDTH, LEAST, HASHES, SIMILARITY = 5, 50, 4, 0.8
 MOST_SENT = 500_000  # documents whose keys are broadcast; more are joined by shuffle
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = "key bigint, doc bigint, a int, c int, b int"

@@ -493,6 +493,18 @@ def test_verified_passages_by_brute_force():
     assert sum(seen) > 20
 
 
+def test_short_near_passages_are_found(spark):
+    rng, docs = random.Random(6), []
+    fresh = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    for k in range(300):
+        a = fresh(rng.choice((55, 60)))
+        b = list(a)
+        b[rng.randrange(10, len(a) - 10)] = "other"
+        docs += [(2 * k + n, " ".join(fresh(rng.randint(20, 300)) + x + fresh(rng.randint(20, 300)))) for n, x in enumerate((a, b))]
+    got = {r["id"]: r["spans"] for r in compact_windows.duplicate_passages(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()}
+    assert sum(bool(x) for x in got.values()) >= 0.99 * len(docs)
+
+
 def test_passages_odd_rows(odd, odd_rows, empty):
     got = defaultdict(set)
     rows = compact_windows.duplicate_passages(odd).collect()
