@@ -398,6 +398,26 @@ def test_licenses_odd_rows(odd, odd_rows, empty):
     assert [x[0] for x in licenses.LicenseScanner().scan("Copyright me\n" + text.replace(",", " ,\n"))] == ["MIT-text"]
 
 
+def test_all_passages_and_full_texts():
+    scanner, rng = licenses.LicenseScanner(), random.Random(7)
+    fill = lambda n: " ".join(f"x{rng.randrange(10**6)}" for _ in range(n))
+    header = licenses.TEMPLATES["GPL-3.0-header"]
+    n = len(licenses.normalised(header))
+    text = " ".join([fill(5), header, fill(40), header, header, fill(9)])
+    assert [x[1:] for x in scanner.scan(text) if x[0] == "GPL-3.0-header"] == [(5 + k, 5 + k + n, 1.0) for k in (0, n + 40, 2 * n + 40)]
+    full = licenses.full_texts()
+    assert {f"{x}-full" for x in ("BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "Unlicense")} <= full.keys()
+    for name, whole in full.items():
+        found = [x[1:] for x in scanner.scan(" ".join([fill(7), whole, fill(30)])) if x[0] == name]
+        assert len(found) == 1 and found[0][0] == 7 and found[0][2] == 1.0, name  # it ends where no bigram is new
+    for name in ("GPL-2.0-header", "LGPL-2.1-header", "AGPL-3.0-header", "EPL-2.0-header"):
+        best = max(scanner.scan(fill(9) + " " + licenses.TEMPLATES[name]), key=lambda x: x[3])
+        assert best[0] == name and best[3] == 1.0
+    for name, other in (("GPL-2.0", "GPL-3.0"), ("GPL-3.0", "GPL-2.0"), ("CC-BY-SA-4.0", "CC-BY-4.0")):
+        found = scanner.scan(fill(9) + " " + licenses.TEMPLATES[name])
+        assert {name, other} <= {x[0] for x in found} and [x[0] for x in licenses.nearest(found, 0.8)] == [name]
+
+
 # 8 passages
 
 
