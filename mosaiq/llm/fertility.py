@@ -3,7 +3,10 @@
 A public byte-level vocabulary gives a text's characters per token and the entropy of its tokens; a public
 piece vocabulary with byte fallback gives the share of the text's bytes that it can spell as bytes only. Each
 language (else the text's script, else a default) has a band for each measure; a text outside a band is rejected.
-Bands hold for texts of ``least`` tokens or more, as few tokens tell nothing of entropy or fertility.
+Bands hold for texts of ``least`` tokens or more, as few tokens tell nothing of entropy or fertility. They come from
+the table itself: of a band's texts that pass the base rules, the quartiles of each measure (in steps of 0.001) less and
+plus ``FENCE`` times their distance, never wider than the fixed ``BANDS``. Fixed bands alone hold for fewer than
+``LEAST_TEXTS`` such texts and for a measure whose quartiles are equal.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Null texts have none, and like empty texts fail the rule on words. Null
 languages take the script's band. Repeated rows are kept; an empty table gives no rows. Only the named
@@ -12,17 +15,19 @@ columns are read, whole texts at a time.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm.textutil import byte_bpe, default_vocabulary, documents, map_batches, shingles, small_batches, word_hashes
+from mosaiq.llm.textutil import byte_bpe, default_vocabulary, documents, map_batches, shingles, small_batches, stored, word_hashes
 
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20  # words, words, percent of the words
+FENCE, LEAST_TEXTS = 3, 50  # Tukey's outer fence
+MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
 
 
 @dataclass(frozen=True)
@@ -80,6 +85,48 @@ def within(band: Band, n: int, measured: tuple[float, float, float]) -> bool:
     return band.chars_per_token[0] <= chars <= band.chars_per_token[1] and fallback <= band.fallback and band.entropy[0] <= entropy <= band.entropy[1]
 
 
+def quartiles(counts: list[tuple[float, int]]) -> tuple[float, float]:
+    """The smallest values with a quarter and with three quarters of the counts up to them."""
+    total, seen, out = sum(n for _, n in counts), 0, []
+    for value, n in sorted(counts):
+        seen += n
+        while len(out) < 2 and 4 * seen >= (1, 3)[len(out)] * total:
+            out.append(value)
+    return out[0], out[1]
+
+
+def derived_bands(measured: DataFrame, bands: dict[str, Band]) -> dict[str, Band]:
+    """``bands`` narrowed to the fences of the measured texts; the driver gets a row for each step of a measure."""
+    held = F.create_map(*[F.lit(x) for name, b in bands.items() for x in (name, b.least)])
+    used = measured.where(~F.col("base_failed")).where(F.col("n_tokens") >= F.try_element_at(held, F.col("band")))
+    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.round(F.col(m) * 1000).cast("int").alias("step")) for k, m in enumerate(MEASURES)]))
+    found: dict[tuple[str, int], list[tuple[float, int]]] = {}
+    for r in used.select("band", steps.alias("x")).groupBy("band", "x.k", "x.step").count().collect():
+        found.setdefault((r["band"], r["k"]), []).append((r["step"] / 1000, r["count"]))
+    out = dict(bands)
+    for (name, k), counts in found.items():
+        low, high = quartiles(counts)
+        if low == high or sum(n for _, n in counts) < LEAST_TEXTS:
+            continue
+        low, high, b = low - FENCE * (high - low), high + FENCE * (high - low), out[name]
+        if k == 1:
+            out[name] = replace(b, fallback=min(b.fallback, high))
+        else:
+            field = ("chars_per_token", "", "entropy")[k]
+            fixed = getattr(b, field)
+            out[name] = replace(b, **{field: (max(fixed[0], low), min(fixed[1], high))})
+    return out
+
+
+def inside(bands: dict[str, Band]) -> Column:
+    """``within`` over the measured columns."""
+    ok = F.lit(False)
+    for name, b in bands.items():
+        fits = F.col("chars_per_token").between(*b.chars_per_token) & (F.col("fallback_share") <= b.fallback) & F.col("token_entropy").between(*b.entropy)
+        ok = F.when(F.col("band") == name, (F.col("n_tokens") < b.least) | fits).otherwise(ok)
+    return ok
+
+
 def repeated_words(hashes: np.ndarray) -> int:
     """Words inside windows that are found twice or more."""
     n = len(hashes)
@@ -112,12 +159,12 @@ def duplicate_lines(raw: bytes) -> int:
 
 
 def quality_rules(df: DataFrame, vocabulary: str, pieces: str, bands: dict[str, Band] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Counts, base verdict, fertility measures, band and verdict of every row."""
-    bands = bands or BANDS
+    """Counts, base verdict, fertility measures, band and verdict of every row; given ``bands`` hold as they are, else they are derived from the table."""
+    given, bands = bands, bands or BANDS
     small_batches(df.sparkSession)
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "fallback_share", "token_entropy", "band"]
-    types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
+    names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_tokens", "chars_per_token", "fallback_share", "token_entropy", "band"]
+    types = [pa.int64()] * 5 + [pa.bool_()] + [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = byte_bpe(vocabulary)
@@ -133,10 +180,15 @@ def quality_rules(df: DataFrame, vocabulary: str, pieces: str, bands: dict[str,
             failed = n < LEAST_WORDS or 100 * repeat > MOST_REPEATED * n
             measured = fertility(text, ids, len(raw), known)
             name = lang if lang in bands else script(text)
-            rows.append((n, len(text) - sum(text.count(c) for c in " \t\n\v\f\r"), sum(text.count(c) for c in SYMBOLS), duplicate_lines(raw), repeat, failed, not failed and within(bands[name], len(ids), measured), len(ids), *measured, name))
+            rows.append((n, len(text) - sum(text.count(c) for c in " \t\n\v\f\r"), sum(text.count(c) for c in SYMBOLS), duplicate_lines(raw), repeat, failed, len(ids), *measured, name))
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names)
 
-    return map_batches(source, measure, f"id {source.schema['id'].dataType.simpleString()}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, n_tokens bigint, chars_per_token double, fallback_share double, token_entropy double, band string")
+    measured = map_batches(source, measure, f"id {source.schema['id'].dataType.simpleString()}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, n_tokens bigint, chars_per_token double, fallback_share double, token_entropy double, band string")
+    if given is None:
+        measured = stored(measured, "fertility")
+        bands = derived_bands(measured, bands)
+    kept = (~F.col("base_failed") & inside(bands)).alias("kept")
+    return measured.select(*names[:7], kept, *names[7:])
 
 
 def op6_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -365,6 +365,26 @@ def test_fertility_measures_and_bands():
     assert fertility.script("日本語 abc") == "latin" or fertility.script("日本語日本語") == "other"
 
 
+def test_bands_come_from_the_texts(spark):
+    rng = random.Random(8)
+    lang = {"en": "the house water people river small garden morning window letter".split(), "de": "der Haus Wasser Leute Fluss kleine Garten Morgen Fenster Brief".split()}
+    docs = [(2 * k + i, " ".join(rng.choice(w) + str(rng.randrange(99)) for _ in range(80)), x) for k in range(100) for i, (x, w) in enumerate(lang.items())]
+    docs += [(1000 + k, " ".join(rng.choice(lang["en"])[:2] + rng.choice(["&&&", "***", "$|#"]) + str(rng.randrange(99)) for _ in range(80)), "en") for k in range(5)]
+    docs += [(2000, docs[0][1], None), (2001, "a b", "en")]
+    got = {r["id"]: r for r in fertility.quality_rules(spark.createDataFrame(docs, "doc_id bigint, text string, lang string").repartition(3), VOCABULARY, PIECES).collect()}
+    for x in lang:
+        rows = [r for r in got.values() if r["band"] == x and not r["base_failed"] and r["n_tokens"] >= 32]
+        for r in rows:
+            want = True
+            for m, fixed in (("chars_per_token", fertility.BANDS[x].chars_per_token), ("token_entropy", fertility.BANDS[x].entropy)):
+                v = sorted(round(y[m] * 1000) / 1000 for y in rows)
+                a, b = v[-(-len(v) // 4) - 1], v[-(-3 * len(v) // 4) - 1]
+                want &= max(fixed[0], a - 3 * (b - a)) <= r[m] <= min(fixed[1], b + 3 * (b - a)) if a < b else fixed[0] <= r[m] <= fixed[1]
+            assert r["kept"] == want
+    assert not any(got[1000 + k]["kept"] or got[1000 + k]["base_failed"] for k in range(5)) and got[2000]["kept"] and not got[2001]["kept"]
+    assert sum(got[k]["kept"] for k in range(200)) > 180
+
+
 # 7 licences
 
 
