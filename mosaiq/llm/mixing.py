@@ -1,6 +1,7 @@
 """Mixing sources to target weights by blocks of a fixed number of tokens.
 
-Each source's documents stand in one stream, cut into blocks. Target weights give each source a share of all
+Each source's documents stand in one stream, cut into blocks; a source of few
+blocks has shorter ones, ``LEAST_BLOCKS`` or as many as it has words, so that it too comes near its target. Target weights give each source a share of all
 tokens, at most ``max_epochs`` times its size, the excess shared anew by weight. Output shards have a fixed
 number of slots; their source counts are drawn shard by shard from a multinomial whose chances follow what
 each source still needs, so that the last shard ends at the targets. A source's slots are numbered through all
@@ -32,7 +33,7 @@ from mosaiq.llm.textutil import documents, map_batches, mix64, small_batches, st
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
 BLOCK, SHARD_SLOTS, MAX_SHARDS, MAX_SOURCES, MAX_EPOCHS = 128, 1024, 4096, 100_000, 3
-BUCKET_ROWS = 20_000
+BUCKET_ROWS, LEAST_BLOCKS = 20_000, 32
 
 
 def cycled_weights(n: int) -> list[float]:
@@ -118,7 +119,8 @@ def mixture(df: DataFrame, weights=cycled_weights, block: int = BLOCK, shard_slo
     found = sorted(found, key=lambda x: (x["source"] is None, (x["source"] or "").encode()))
     sizes = [int(x["n"]) for x in found]
     goal = targets(sizes, weights(len(sizes)), max_epochs)
-    blocks = [-(-n // block) for n in sizes]
+    widths = [max(1, min(block, n // LEAST_BLOCKS)) for n in sizes]
+    blocks = [-(-n // w) for n, w in zip(sizes, widths)]
     need = np.array([min(max_epochs * b, round(g * b / n)) if n else 0 for n, b, g in zip(sizes, blocks, goal)], np.int64)
     slots_each = max(shard_slots, -(-int(need.sum()) // MAX_SHARDS))
     counts = draw_counts(need, slots_each, seed)
@@ -128,16 +130,18 @@ def mixture(df: DataFrame, weights=cycled_weights, block: int = BLOCK, shard_slo
     plan = spark.createDataFrame(pa.table({"shard": pa.array(shard, pa.int64()), "sid": pa.array(sid, pa.int32()), "first": pa.array(first[shard, sid], pa.int64()), "n": pa.array(counts[shard, sid], pa.int64()), "blocks": pa.array(np.array(blocks, np.int64)[sid], pa.int64())}))
     # positions: sums of buckets first, then inside each
     buckets = max(1, -(-sized.count() // BUCKET_ROWS))
-    named = sized.join(F.broadcast(sources.select("sid", F.col("source").alias("named"))), F.col("source").eqNullSafe(F.col("named"))).drop("named").withColumn("bucket", F.pmod(F.xxhash64("id", "size"), F.lit(buckets)))
+    names = spark.createDataFrame([(k, x["source"], w) for k, (x, w) in enumerate(zip(found, widths))], "sid int, named string, width bigint")
+    named = sized.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("named"))).drop("named").withColumn("bucket", F.pmod(F.xxhash64("id", "size"), F.lit(buckets)))
     whole = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = named.groupBy("sid", "bucket").agg(F.sum("size").alias("n")).select("sid", "bucket", F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("base"))
     inside = Window.partitionBy("sid", "bucket").orderBy("id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
-    rows = named.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["sid", "bucket"]).select("row", "id", "source", "size", "sid", (F.col("base") + F.col("inside")).alias("start"))
-    end = F.col("start") + F.col("size")
+    placed = named.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["sid", "bucket"]).select("row", "id", "source", "size", "sid", (F.col("base") + F.col("inside")).alias("start"), "width")
+    rows = placed.drop("width")
+    end, width = F.col("start") + F.col("size"), F.col("width")
     pieces = (
-        rows.where("size > 0")
-        .withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
-        .select("row", "id", "sid", "start", "size", "block", F.greatest(F.lit(0), F.col("block") * block - F.col("start")).alias("at"), (F.least(end, (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)).alias("length"))
+        placed.where("size > 0")
+        .withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((end - 1) / width))))
+        .select("row", "id", "sid", "start", "size", "block", F.greatest(F.lit(0), F.col("block") * width - F.col("start")).alias("at"), (F.least(end, (F.col("block") + 1) * width) - F.greatest(F.col("start"), F.col("block") * width)).alias("length"))
     )
 
     def choose(batch: pa.RecordBatch) -> pa.RecordBatch:

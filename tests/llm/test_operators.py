@@ -639,6 +639,15 @@ def test_mixture_by_brute_force(odd, odd_rows, empty):
     assert mixing.mixture(empty).taken().count() == 0
 
 
+def test_small_sources_come_near_their_targets(spark):
+    sizes = {"a": 5000, "b": 100, "c": 129, "d": 20, "e": 700}
+    docs = [(k, " ".join(["w"] * n), s) for k, (s, n) in enumerate(sizes.items())]
+    weights = lambda n: [5000.0, 40.0, 64.0, 8.0, 300.0]
+    mix = mixing.mixture(spark.createDataFrame(docs, "doc_id bigint, text string, source string"), weights=weights)
+    for r in mix.taken().collect():
+        assert abs(r["taken"] - r["target"]) <= max(2, 0.06 * r["size"]), (r["id"], r["size"], r["target"], r["taken"])
+
+
 def test_mixed_documents_hold_the_taken_words(spark):
     rng = random.Random(6)
     docs = [(k, "\n".join(" ".join(f"d{k}n{i}" for i in range(j, j + 9)) for j in range(0, rng.randint(1, 90), 9)), "ab"[k % 5 == 0]) for k in range(40)]
