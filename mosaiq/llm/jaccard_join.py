@@ -6,16 +6,23 @@ boundary) enumerates all subsets of L = 2 n-grams of its 2-prefix; the sets abov
 scanning inverted lists of single n-grams of their 1-prefix. Sets so near above the boundary that a small one
 can reach them do both. The boundary is the size at which the counted cost of all rows is least.
 
-The order comes from a count sketch of fixed size, then from the n-grams' lengths; it decides cost only, never a result, as any order that
-all sets agree on is exact. Equal sets meet as one node. In a list, members are first compared with one pivot
-each; lists whose members still lie in several components are then compared pair by pair, by growing distance
-in the list, until each pair of different components was compared. Histograms of the n-grams' codes bound an
-intersection from above, and sets are made and moved for the pairs alone that they let through. So no link between different sets is lost,
-and copies are not expanded into pairs. N-grams are 64-bit codes, sets 128-bit hashes.
+The order comes from a count sketch of fixed size, then from the n-grams' lengths; it decides cost only, never a
+result, as any order that all sets agree on is exact. Equal sets meet as one node.
+
+Lists stay short of pairs by an exact bound. Of two sets let A be the one whose prefix ends first in the order:
+every n-gram of A's prefix that the other holds is in the other's prefix too, so it has a list of two sets or
+more. A's n-grams without such a list are missing in the other, and what is left of A bounds the intersection
+(its cap). Pairs whose cap is under the needed intersection are never made. In a list, members are first compared
+with one pivot each, the member with the least missing; then only lists that hold sets of different components
+that the bound lets through are compared further, by growing distance in the list, until each such pair was
+compared. So no link between different sets is lost, and copies are not expanded into pairs. What can remain
+are groups of many sets that are all just under the threshold with each other and in components of their own.
+N-grams are 64-bit codes, sets 128-bit hashes.
 
 Null and empty texts, and texts of white space, have an empty set, and link with nothing. Texts with fewer
 words than n have one n-gram of all their words. Repeated rows are kept; a null id takes part in links but is
-nobody's smallest id. An empty table gives no rows. Only the named columns are read.
+nobody's smallest id. An empty table gives no rows. Only the named columns are read. The threshold must be
+over 50 percent.
 """
 
 from __future__ import annotations
@@ -31,12 +38,13 @@ from pyspark.sql import functions as F
 
 from mosaiq.llm.graph import components
 from mosaiq.llm.sketch import SlotCounts, levels, rare_first
-from mosaiq.llm.textutil import documents, map_batches, raw_texts, shingles, sized_words, small_batches, stored
+from mosaiq.llm.textutil import bit_filter, discard, documents, passes, raw_texts, shingles, sized_words, small_batches, stored
 
-LARGEST_SMALL = 512  # the boundary is looked for up to this size
+LARGEST_SMALL = 256  # the boundary is looked for up to this size
 LIST_SAMPLE = 4096  # one of so many n-grams is counted for the cost of scanning a list
-FIRST_REACH = 4
-MOST_SENT = 500_000  # nodes whose ids are broadcast; more are joined by shuffle
+FIRST_REACH, WIDER = 16, 8
+PARITY_BITS, PRUNINGS = 1024, 1
+MASKED = 62  # n-grams of a 2-prefix that a mask holds; sets with a longer one have no cap
 
 
 def gram_set(raw: bytes, n: int) -> np.ndarray:
@@ -50,20 +58,10 @@ def gram_set(raw: bytes, n: int) -> np.ndarray:
     return np.unique((length << np.uint64(58)) | (shingles(words, n) >> np.uint64(6)))
 
 
-def histogram(grams: np.ndarray) -> np.ndarray:
-    """Counts of the codes' low bits in a power of two of bins, about one for eight n-grams: a bound on any intersection."""
-    bins = 64
-    while bins * 8 < len(grams) and bins < 4096:
-        bins *= 2
-    return np.bincount((grams & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
-
-
-def may_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether sets of these histograms can reach the threshold."""
-    if len(a) > len(b):
-        a, b = b, a
-    both = int(np.minimum(a, b.reshape(-1, len(a)).sum(axis=0)).sum())
-    return 100 * both >= percent * (int(a.sum()) + int(b.sum()) - both)
+def parity(grams: np.ndarray) -> bytes:
+    """For each of ``PARITY_BITS`` places whether an odd number of the codes falls there: two sets differ in as many codes as these bits differ, at least."""
+    at = np.bincount(((grams >> np.uint64(20)) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits((at & 1).astype(np.uint8)).tobytes()
 
 
 def needed(size, percent: int):
@@ -71,45 +69,53 @@ def needed(size, percent: int):
     return -(-size * percent // 100)
 
 
+def reached(a, b, percent: int):
+    """The least intersection of linked sets of sizes ``a`` and ``b``."""
+    return -(-(a + b) * percent // (100 + percent))
+
+
 def _profile(df: DataFrame, n: int) -> DataFrame:
-    """One pass: rows ``row, id, size, s1, s2, bins`` of documents, and with null row the sketch's and the sample's counts."""
+    """One pass: rows ``row, id, size, s1, s2, bits`` of documents, and with null row the sketch's and the sample's counts."""
     import xxhash
 
+    names = ["row", "id", "size", "s1", "s2", "bits", "part", "counts", "gram", "count"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, sample = None, {}
+        sketch, sample, id_type = None, {}, None
         row = TaskContext.get().partitionId() << 36
-        names, id_type = ["row", "id", "size", "s1", "s2", "bins", "slot", "gram", "count"], None
+
+        def others(part: list, counts: list, gram: list, count: list) -> pa.RecordBatch:
+            none = pa.nulls(len(gram), pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.nulls(len(gram), id_type), none, none, none, pa.nulls(len(gram), pa.binary()), pa.array(part, pa.int32()), pa.array(counts, pa.binary()), pa.array(gram, pa.int64()), pa.array(count, pa.int64())], names)
+
         for batch in batches:
             id_type, sketch = batch.schema.field(0).type, sketch or SlotCounts()
-            sizes, sig, bins = [], [], []
+            sizes, sig, bits = [], [], []
             for raw in raw_texts(batch.column(1)):
                 grams = gram_set(raw, n)
-                bins.append(histogram(grams).astype("<i4").tobytes())
                 sizes.append(len(grams))
+                bits.append(parity(grams))
                 d = xxhash.xxh3_128_digest(grams.tobytes())
                 sig.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
                 sketch.add(grams)
                 for g in grams[(grams >> np.uint64(30)) % np.uint64(LIST_SAMPLE) == 0].astype(np.int64).tolist():
                     sample[g] = sample.get(g, 0) + 1
-                if len(sample) > 100_000:
-                    yield counted(sample, names, id_type, 1)
-                    sample = {}
+            if len(sample) > 100_000:
+                k = len(sample)
+                yield others([None] * k, [None] * k, list(sample), list(sample.values()))
+                sample = {}
             k = len(sizes)
             none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + k)), batch.column(0), pa.array(sizes, pa.int64()), pa.array([x[0] for x in sig], pa.int64()), pa.array([x[1] for x in sig], pa.int64()), pa.array(bins, pa.binary()), none, none, none], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + k)), batch.column(0), pa.array(sizes, pa.int64()), pa.array([x[0] for x in sig], pa.int64()), pa.array([x[1] for x in sig], pa.int64()), pa.array(bits, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), none, none], names)
             row += k
         if id_type is not None:
-            yield counted(dict(zip(*(x.tolist() for x in sketch.often()))), names, id_type, 0)
-            yield counted(sample, names, id_type, 1)
-
-    def counted(found: dict, names: list[str], id_type, which: int) -> pa.RecordBatch:
-        k = len(found)
-        none = pa.nulls(k, pa.int64())
-        keys = pa.array(list(found), pa.int64())
-        return pa.RecordBatch.from_arrays([none, pa.nulls(k, id_type), none, none, none, pa.nulls(k, pa.binary()), none if which else keys, keys if which else none, pa.array(list(found.values()), pa.int64())], names)
+            at, packed = sketch.parts()
+            yield others(at, packed, [None] * len(at), [None] * len(at))
+            k = len(sample)
+            yield others([None] * k, [None] * k, list(sample), list(sample.values()))
 
     id_type = df.schema["id"].dataType.simpleString()
-    return df.mapInArrow(run, f"row bigint, id {id_type}, size bigint, s1 bigint, s2 bigint, bins binary, slot bigint, gram bigint, count bigint")
+    return df.mapInArrow(run, f"row bigint, id {id_type}, size bigint, s1 bigint, s2 bigint, bits binary, part int, counts binary, gram bigint, count bigint")
 
 
 def _boundary(profile: DataFrame, percent: int) -> int:
@@ -126,31 +132,39 @@ def _boundary(profile: DataFrame, percent: int) -> int:
     return best
 
 
+POSTING = ["key", "s1", "s2", "last", "ij"]
+POSTING_TYPES = "key bigint, s1 bigint, s2 bigint, last bigint, ij smallint"
+
+
+def keys_of(grams: np.ndarray, rare: np.ndarray, percent: int, boundary: int) -> list[tuple[np.ndarray, int, np.ndarray]]:
+    """(keys, rank of the prefix's last n-gram, places) of a set's subsets, odd keys with the places i * 64 + j of their n-grams in the 2-prefix (-1 where it is longer than ``MASKED``), and of its single n-grams, even keys."""
+    size = len(grams)
+    c = int(needed(size, percent))
+    ranks = rare_first(grams, grams, rare)
+    order = np.argsort(ranks, kind="stable")[: size - c + 2]
+    first, out = grams[order], []
+    last = lambda k: int(ranks[order[k]] >> np.uint64(1))
+    if size * percent <= boundary * 100 and size > 1:
+        i, j = np.array(list(combinations(range(len(first)), 2))).T
+        a, b = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
+        key = (a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+        out.append((key, last(-1), (i * 64 + j if len(first) <= MASKED else np.full(len(i), -1)).astype(np.int16)))
+    if size > boundary:
+        k = size - c + 1
+        out.append((first[:k] & ~np.uint64(1), last(min(k, len(order)) - 1), np.zeros(k, np.int16)))
+    return out
+
+
 def _postings(df: DataFrame, n: int, percent: int, boundary: int, order: np.ndarray) -> DataFrame:
-    """``key, size, s1, s2``: a set's subsets and single n-grams. A task gives each set once."""
+    """``key, s1, s2, last, ij``: a set's subsets and single n-grams. A task gives each set once."""
     import xxhash
 
     shared = df.sparkSession.sparkContext.broadcast(order.tobytes())
 
-    def keys_of(grams: np.ndarray, rare: np.ndarray) -> list[np.ndarray]:
-        size = len(grams)
-        c = int(needed(size, percent))
-        first = grams[np.argsort(rare_first(grams, grams, rare), kind="stable")[: size - c + 2]]
-        keys = []
-        if size * percent <= boundary * 100:
-            pairs = list(combinations(range(len(first)), 2)) if size > 1 else []
-            if pairs:
-                i, j = np.array(pairs).T
-                a, b = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
-                keys.append((a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1))
-        if size > boundary:
-            keys.append(first[: size - c + 1] & ~np.uint64(1))
-        return keys
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare, seen = np.frombuffer(shared.value, np.uint8), set()
         for batch in batches:
-            key, size, s1, s2 = [], [], [], []
+            key, s1, s2, last, ij = [], [], [], [], []
             for raw in raw_texts(batch.column(0)):
                 grams = gram_set(raw, n)
                 d = xxhash.xxh3_128_digest(grams.tobytes())
@@ -159,29 +173,29 @@ def _postings(df: DataFrame, n: int, percent: int, boundary: int, order: np.ndar
                 if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(d)
-                for k in keys_of(grams, rare):
+                for k, end, places in keys_of(grams, rare, percent, boundary):
                     key.append(k)
-                    size.append(np.full(len(k), len(grams), np.int64))
                     s1.append(np.full(len(k), int.from_bytes(d[:8], "little", signed=True), np.int64))
                     s2.append(np.full(len(k), int.from_bytes(d[8:], "little", signed=True), np.int64))
+                    last.append(np.full(len(k), end, np.int64))
+                    ij.append(places)
             if key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (size, s1, s2))], ["key", "size", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (s1, s2, last, ij))], POSTING)
 
-    return df.select("text").mapInArrow(run, "key bigint, size bigint, s1 bigint, s2 bigint")
+    return df.select("text").mapInArrow(run, POSTING_TYPES)
 
 
 def _shared_lists(postings: DataFrame) -> DataFrame:
-    """``key, size, s1, s2`` of the keys that different sets share, without repeats, by one scan of the sorted rows that holds one row."""
-    names = ["key", "size", "s1", "s2"]
+    """The postings of the keys that different sets share, without repeats, by one scan of the sorted rows that holds one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 4), np.int64)  # the last set of the open key
+        held = np.empty((0, 5), np.int64)  # the last set of the open key
         told = False  # whether the open key was found shared, and its held row given
         for batch in batches:
-            x = np.column_stack([c.to_numpy() for c in batch.columns])
+            x = np.column_stack([c.to_numpy().astype(np.int64) for c in batch.columns])
             x = np.concatenate([held, x])
             new = np.ones(len(x), bool)
-            new[1:] = (x[1:] != x[:-1]).any(axis=1)
+            new[1:] = (x[1:, :3] != x[:-1, :3]).any(axis=1)
             y = x[new]  # rows equal to the one before are repeats
             given_first = told and held.size > 0
             same_next = np.zeros(len(y), bool)
@@ -194,108 +208,199 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
                 out[0] = False
             if out.any():
                 z = y[out]
-                yield pa.RecordBatch.from_arrays([pa.array(z[:, k].copy()) for k in range(4)], names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(z[:, k].copy()) for k in range(4)), pa.array(z[:, 4].astype(np.int16))], POSTING)
             held, told = y[-1:], last_told
 
-    return postings.repartition("key").sortWithinPartitions("key", "size", "s1", "s2").mapInArrow(run, "key bigint, size bigint, s1 bigint, s2 bigint")
+    return postings.repartition("key").sortWithinPartitions("key", "s1", "s2").mapInArrow(run, POSTING_TYPES)
+
+
+def _capped(members: DataFrame, percent: int) -> DataFrame:
+    """``members`` (key, size, node, last, ij) and ``cap``: a set's n-grams less those of its prefix that have no list here, for its single n-grams and for its subsets apart."""
+    odd = F.col("key") % 2 != 0
+    bits = F.expr("shiftleft(1L, cast(shiftright(ij, 6) AS int)) | shiftleft(1L, cast(ij AS int) & 63)")
+    caps = members.groupBy("node").agg(
+        F.min("size").alias("size"), F.count_if(~odd).alias("singles"), F.bit_or(F.when(odd & (F.col("ij") >= 0), bits)).alias("mask"), F.coalesce(F.bool_or(odd & (F.col("ij") < 0)), F.lit(False)).alias("wide")
+    )
+    c = F.expr(f"(size * {percent} + 99) div 100")
+    two = F.when(F.col("wide"), F.col("size")).otherwise(c - 2 + F.bit_count(F.coalesce("mask", F.lit(0).cast("bigint"))))
+    caps = caps.select("node", (c - 1 + F.col("singles")).alias("one"), two.alias("two"))
+    return members.drop("cap").join(caps, "node").withColumn("cap", F.when(odd, F.col("two")).otherwise(F.col("one")).cast("bigint")).drop("one", "two")
+
+
+def _may_link(a: dict, b: dict, percent: int):
+    """Whether a list's members (size, cap, last) pass the bounds of size and cap."""
+    need = F.expr(f"(({a['size']} + {b['size']}) * {percent} + {99 + percent}) div {100 + percent}")
+    cap = F.expr(f"CASE WHEN {a['last']} < {b['last']} THEN {a['cap']} WHEN {a['last']} > {b['last']} THEN {b['cap']} ELSE least({a['cap']}, {b['cap']}) END")
+    return (F.expr(f"least({a['size']}, {b['size']})") >= need) & (cap >= need)
 
 
 def _sets(df: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """``node, grams`` of the given nodes (``rep, s1, s2, node``), from one document of each."""
+    """``node, grams`` of the given nodes (``rep, s1, s2, node``), from one document of each; texts do not move."""
     import xxhash
 
+    shared = df.sparkSession.sparkContext.broadcast(bit_filter(nodes.select(F.xxhash64("rep"))))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [gram_set(raw, n) for raw in raw_texts(batch.column(0))]
+            batch = batch.filter(pa.array(passes(shared.value, batch.column(0).to_numpy())))
+            grams = [gram_set(raw, n) for raw in raw_texts(batch.column(1))]
             d = [xxhash.xxh3_128_digest(g.tobytes()) for g in grams]
             offsets = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
             values = pa.array(np.concatenate(grams).view(np.int64) if grams else np.empty(0, np.int64))
             sig = [pa.array([int.from_bytes(x[k : k + 8], "little", signed=True) for x in d], pa.int64()) for k in (0, 8)]
             yield pa.RecordBatch.from_arrays([*sig, pa.ListArray.from_arrays(pa.array(offsets), values)], ["s1", "s2", "grams"])
 
-    wanted = nodes.select(F.col("rep").alias("wanted"))
-    if nodes.count() <= MOST_SENT:
-        wanted = F.broadcast(wanted)
-    some = df.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
-    made = some.select("text").mapInArrow(run, "s1 bigint, s2 bigint, grams array<bigint>")
+    made = df.select(F.xxhash64("id").alias("h"), "text").mapInArrow(run, "s1 bigint, s2 bigint, grams array<bigint>")
     return made.join(nodes.select("s1", "s2", "node"), ["s1", "s2"]).dropDuplicates(["node"]).select("node", "grams")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (``u, v``) whose sets reach the threshold; sets are made for those alone whose histograms may."""
-    a = nodes.select(F.col("node").alias("u"), F.col("bins").alias("a"))
-    b = nodes.select(F.col("node").alias("v"), F.col("bins").alias("b"))
-
-    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        mask = [may_link(np.frombuffer(p, "<i4"), np.frombuffer(q, "<i4"), percent) for p, q in zip(x, y)]
-        return pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(mask, pa.bool_()))
-
-    likely = stored(map_batches(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b"), keep, "u bigint, v bigint"), "join-likely")
-    ends = likely.select(F.col("u").alias("node")).unionByName(likely.select(F.col("v").alias("node"))).distinct()
-    sets = stored(_sets(df, stored(nodes.drop("bins").join(ends, "node", "left_semi"), "join-wanted"), n), "join-sets")
+    """The pairs (``u, v``) whose sets reach the threshold, stored."""
+    pairs = stored(pairs, "join-pairs")
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = stored(nodes.join(ends, "node", "left_semi"), "join-wanted")
+    sets = stored(_sets(df, wanted, n), "join-sets")
     a = sets.select(F.col("node").alias("u"), F.col("grams").alias("a"))
     b = sets.select(F.col("node").alias("v"), F.col("grams").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    return likely.join(a, "u").join(b, "v").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
+    links = stored(pairs.join(a, "u").join(b, "v").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v"), "join-links")
+    discard(pairs, wanted, sets)
+    return links
+
+
+ROW = ["key", "size", "node", "label", "cap", "last"]
+
 
+def _fitting(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether rows (as ``ROW``) of one list are of different components and pass the bounds of size and cap."""
+    need = reached(x[:, 1], y[:, 1], percent)
+    cap = np.where(x[:, 5] < y[:, 5], x[:, 4], np.where(x[:, 5] > y[:, 5], y[:, 4], np.minimum(x[:, 4], y[:, 4])))
+    return (x[:, 0] == y[:, 0]) & (x[:, 3] != y[:, 3]) & (np.minimum(x[:, 1], y[:, 1]) >= need) & (cap >= need)
 
-def _near_pairs(members: DataFrame, least: int, reach: int, percent: int) -> DataFrame:
-    """Pairs (``u, v``) of a list's members of different components whose sizes allow a link and whose places in the list are ``least`` up to less than ``reach`` apart; one scan of the sorted rows that holds ``reach`` rows."""
+
+def _with_partner(members: DataFrame, least: int, reach: int, percent: int) -> DataFrame:
+    """``ROW`` and ``place`` (in the list) of the members with a partner that fits them ``least`` up to less than ``reach`` places away; one scan of the sorted rows that holds ``reach`` rows twice."""
+    names = [*ROW, "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 4), np.int64)
+        held, told, key, n = np.empty((0, 7), np.int64), np.empty(0, bool), None, 0
         for batch in batches:
-            new = len(held)
-            x = np.concatenate([held, np.column_stack([c.to_numpy() for c in batch.columns])])
-            found = []
+            new = np.column_stack([batch.column(k).to_numpy() for k in range(6)])
+            begins = np.concatenate([[True], new[1:, 0] != new[:-1, 0]])
+            at = np.arange(len(new))
+            place = at - np.maximum.accumulate(np.where(begins, at, 0))
+            if new[0, 0] == key:
+                place[: int(begins[1:].argmax()) + 1 if begins[1:].any() else len(new)] += n
+            key, n = new[-1, 0], place[-1] + 1
+            old = len(held)
+            x = np.concatenate([held, np.column_stack([new, place])])
+            told = np.concatenate([told, np.zeros(len(new), bool)])
             for d in range(least, min(reach, len(x))):
-                a, b = x[:-d], x[d:]
-                ok = (a[:, 0] == b[:, 0]) & (a[:, 3] != b[:, 3]) & (b[:, 1] * percent <= a[:, 1] * 100)
-                ok[: max(0, new - d)] = False  # the later row was in the batch before
-                if ok.any():
-                    found.append(np.column_stack([a[ok, 2], b[ok, 2]]))
-            if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
+                first = max(0, old - d)
+                ok = first + np.flatnonzero(_fitting(x[first : len(x) - d], x[first + d :], percent))
+                told[ok] = told[ok + d] = True
+            keep = min(reach - 1, len(x))
+            done = x[: len(x) - keep][told[: len(x) - keep]]
+            if len(done):
+                yield pa.RecordBatch.from_arrays([pa.array(done[:, k].copy()) for k in range(7)], names)
+            held, told = x[len(x) - keep :], told[len(x) - keep :]
+        if told.any():
+            yield pa.RecordBatch.from_arrays([pa.array(held[told, k].copy()) for k in range(7)], names)
+
+    return members.repartition("key").sortWithinPartitions("key", "size", "node").select(*ROW).mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
+
+
+def _near_pairs(members: DataFrame, bits: DataFrame, least: int, reach: int, percent: int) -> DataFrame:
+    """Pairs (``u, v``) of a list's members that fit and whose places in the list are ``least`` up to less than ``reach`` apart, if their sets' parities (``node, bits``) differ in no more places than those of linked sets can; one scan of the sorted rows that holds ``reach`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parities = np.empty((0, 7), np.int64), np.empty((0, PARITY_BITS // 64), np.uint64)
+        for batch in batches:
+            old = len(held)
+            x = np.concatenate([held, np.column_stack([batch.column(k).to_numpy() for k in range(7)])])
+            parities = np.concatenate([parities, np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(batch.num_rows, -1)])
+            found = []
+            for d in range(1, min(reach, len(x))):
+                first = max(0, old - d)
+                a, b = x[first : len(x) - d], x[first + d :]
+                apart = b[:, 6] - a[:, 6]
+                at = first + np.flatnonzero((apart >= least) & (apart < reach) & _fitting(a, b, percent))
+                differ = np.bitwise_count(parities[at] ^ parities[at + d]).sum(axis=1, dtype=np.int64)
+                at = at[differ <= x[at, 1] + x[at + d, 1] - 2 * reached(x[at, 1], x[at + d, 1], percent)]
+                found.append(np.column_stack([x[at, 2], x[at + d, 2]]))
+            pairs = np.unique(np.concatenate(found), axis=0) if found else held[:0, :2]
+            if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
-            held = x[-(reach - 1) :] if reach > 1 else x[:0]
+            keep = min(reach - 1, len(x))
+            held, parities = x[len(x) - keep :], parities[len(x) - keep :]
+
+    rows = _with_partner(members, least, reach, percent).join(bits, "node").select(*ROW, "place", "bits")
+    return rows.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def _open(labelled: DataFrame, percent: int, done: int) -> DataFrame:
+    """The members of lists longer than ``done`` that still can link with a member of another component, with their list's ``length``.
 
-    return members.repartition("key").sortWithinPartitions("key", "size", "node").select("key", "size", "node", "label").mapInArrow(run, "u bigint, v bigint")
+    A member whose own cap allows a link with the list's smallest set, or the smallest that it can link with at all, is active; in every pair
+    that the bounds let through the one whose prefix ends first is. So a member stays if it is active, or if its prefix ends after that of an
+    active one of another component.
+    """
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.min("size").alias("small")).where((F.col("least") != F.col("most")) & (F.col("n") > done))
+    c = f"greatest(small, (size * {percent} + 99) div 100)"
+    told = labelled.join(mixed.select("key", "small"), "key").withColumn("active", F.expr(f"cap >= ((size + {c}) * {percent} + {99 + percent}) div {100 + percent}"))
+    by = told.groupBy("key").agg(*[f(F.when(F.col("active"), F.col(x))).alias(y) for f, x, y in ((F.min, "label", "lo"), (F.max, "label", "hi"), (F.min, "last", "from"))]).where("lo is not null")
+    stay = told.join(by, "key").where(F.col("active") | ((F.col("last") >= F.col("from")) & ((F.col("lo") != F.col("hi")) | (F.col("label") != F.col("lo")))))
+    stay = stay.select(*ROW, "ij")
+    lists = stay.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("length")).where(F.col("least") != F.col("most"))
+    return stay.join(lists.select("key", "length"), "key")
 
 
 def jaccard_join(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row, id, n_shingles, component_id`` of every row; ``row`` tells repeated ids apart."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50, and 100 at most")
     spark = df.sparkSession
     small_batches(spark)
     df = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     profile = stored(_profile(df, n), "join-profile")
-    order, boundary = levels(profile.where("slot is not null")), _boundary(profile, percent)
+    order, boundary = levels(profile.where("part is not null").select("part", "counts")), _boundary(profile, percent)
     rows = profile.where("row is not null").select("row", "id", "size", "s1", "s2")
     lists = stored(_shared_lists(_postings(df, n, percent, boundary, order)), "join-lists")
-    nodes = rows.where("size > 0").groupBy("s1", "s2").agg(F.min("row").alias("node"), F.min("id").alias("rep"))
-    met = nodes.join(lists.select("s1", "s2").distinct(), ["s1", "s2"])
-    in_lists = stored(met.join(profile.where("row is not null").select(F.col("row").alias("node"), "bins"), "node"), "join-nodes")
-    members = stored(lists.join(in_lists.select("s1", "s2", "node"), ["s1", "s2"]).select("key", "size", "node"), "join-members")
+    nodes = rows.where("size > 0").groupBy("s1", "s2").agg(F.min("row").alias("node"), F.min("id").alias("rep"), F.min("size").alias("size"))
+    in_lists = stored(nodes.join(lists.select("s1", "s2").distinct(), ["s1", "s2"], "left_semi"), "join-nodes")
+    bits = profile.select(F.col("row").alias("node"), "bits")
+    members = stored(lists.join(in_lists, ["s1", "s2"]).select("key", "size", "node", "last", "ij"), "join-members")
+    discard(lists)
+    for _ in range(PRUNINGS):  # a list that loses a member may cap the others lower
+        fewer = stored(_open(_capped(members, percent).withColumn("label", F.col("node")), percent, 0).drop("label", "length"), "join-members")
+        discard(members)
+        members = fewer
     # first, each member with one pivot: of the pivots of its lists that which it meets most often
-    pivots = members.groupBy("key").agg(F.min(F.struct("size", "node")).alias("p"))
-    met = members.join(pivots, "key").where((F.col("node") != F.col("p.node")) & (F.col("size") * percent <= F.col("p.size") * 100)).groupBy(F.col("node").alias("u"), F.col("p.node").alias("v")).agg(F.count("*").alias("met"))
+    pivots = members.groupBy("key").agg(F.max(F.struct((F.col("cap") - F.col("size")).alias("free"), "last", (-F.col("node")).alias("to"), "size", "cap")).alias("p"))
+    fits = _may_link({"size": "size", "cap": "cap", "last": "last"}, {"size": "p.size", "cap": "p.cap", "last": "p.last"}, percent)
+    met = members.join(pivots, "key").where((F.col("node") != -F.col("p.to")) & fits).groupBy(F.col("node").alias("u"), (-F.col("p.to")).alias("v")).agg(F.count("*").alias("met"))
     best = met.groupBy("u").agg(F.max_by("v", F.struct("met", -F.col("v"))).alias("v"))
-    links = stored(_verified(best, in_lists, df, n, percent), "join-links")
+    links = _verified(best, in_lists, df, n, percent)
     labels = stored(components(links, "join-components"), "join-labels")
     reach, done = FIRST_REACH, 0
     while True:
-        labelled = members.join(labels, "node", "left").select("key", "size", "node", F.coalesce("label", "node").alias("label"))
-        open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("length")).where((F.col("lo") != F.col("hi")) & (F.col("length") > done))
-        part = stored(labelled.join(open_.select("key", "length"), "key"), "join-open")
+        labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        part = stored(_open(labelled, percent, done), "join-open")
         longest = part.agg(F.max("length")).first()[0]
         if longest is None:
+            discard(part)
             break
-        pairs = _near_pairs(part.select("key", "size", "node", "label"), max(done, 1), reach, percent).distinct()
-        links = stored(links.unionByName(_verified(pairs, in_lists, df, n, percent)).distinct(), "join-links")
-        labels = stored(components(links, "join-components"), "join-labels")
+        more = _verified(_near_pairs(part, bits, max(done, 1), reach, percent), in_lists, df, n, percent)
+        # a component's links so far are the stars of its label
+        stars = labels.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
+        joined = stored(components(stars.unionByName(more), "join-components"), "join-labels")
+        discard(labels, more, members)
+        labels, members = joined, part.drop("label", "length")
+        members.scratch_path = part.scratch_path
         if longest <= reach:
             break
-        reach, done = 4 * reach, reach
+        reach, done = WIDER * reach, reach
+    discard(members, in_lists)
     classes = nodes.join(labels, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("label"))
     classed = rows.join(classes, ["s1", "s2"], "left").withColumn("label", F.when(F.col("size") > 0, F.col("label")).otherwise(F.col("row")))
     least = classed.groupBy("label").agg(F.min("id").alias("component_id"))

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CACHE_ENTRIES = 400_000
 CACHED_LENGTH = 64
@@ -29,9 +30,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is unset (tests), a local one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset a local folder serves a local master; on a cluster that is an error, as executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="mosaiq-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -45,7 +48,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts lineage and survives a lost executor."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` wrote and that nothing lazy still reads."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+FILTER_BITS = 25
+
+
+def bit_filter(values: DataFrame) -> bytes:
+    """A set of the one bigint column of ``values`` as ``2**FILTER_BITS`` bits, 4 MB whatever the input's size. It may let others through, so an exact join follows it."""
+    place = F.pmod(F.col(values.columns[0]), F.lit(1 << FILTER_BITS))
+    parts = values.select(place.alias("at")).groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(32767)).alias("bits"))
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in parts.collect():  # 1024 rows of 4 kB at most
+        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.tobytes()
+
+
+def passes(bits: bytes, values: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit ``values`` the filter lets through."""
+    at = np.mod(values.astype(np.int64), 1 << FILTER_BITS)
+    return (np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
