@@ -5,7 +5,7 @@ lasso-penalised logistic fit leaves few of them with a weight. The model is comp
 expression over the statistics, so scoring needs neither the trees nor Python.
 
 Statistics come from the text alone. The fit uses at most ``MAX_ROWS`` labelled rows, the first by a hash of
-the id (a documented bound: the driver holds that many rows of statistics); everything else runs over all rows.
+the id, and one row for each id (a documented bound: the driver holds that many rows of statistics); everything else runs over all rows.
 Without rows of both labels the score is the smoothed share of label 1.
 
 A null text is an empty one, and gets a score as every text does. A null label is no label. Repeated rows are
@@ -202,8 +202,9 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("double").alias("_label")).where("id is not null and _label is not null").where(~held_out("id"))
     marks = marks.groupBy("id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     found = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marks), "id")  # max_rows ids at most
-    rows = with_statistics(found, "text").drop("text").toPandas()
     names = [f"_{x}" for x in STATISTICS]
+    # one row for each id, of repeated ids that of the smallest statistics: max_rows rows on the driver at most
+    rows = with_statistics(found, "text").select("id", "_label", F.struct(*names).alias("s")).groupBy("id").agg(F.min("s").alias("s"), F.first("_label").alias("_label")).select("id", "_label", "s.*").toPandas()
     rows = rows.sort_values(["id", *names], kind="stable")
     return fit(rows[names].to_numpy(np.float64), (rows["_label"].to_numpy(np.float64) > 0.5).astype(np.float64))
 
