@@ -1,20 +1,24 @@
 """Secret scans by patterns and by a battery of randomness tests, in DataFrame functions only.
 
 Three patterns give the base spans. The battery looks at runs of code characters of ``LEAST`` or more that
-mix character classes. The encoding inferred from a run's characters gives its alphabet and its classes; then
-three tests ask how well text-like or structured strings of the same length explain what is seen:
-
-* chi-squared alphabet uniformity, against a noncentral chi-squared whose noncentrality is that of characters
-  which meet each other with the chance ``REPEAT`` of written text, growing with the length;
-* runs: changes between character classes, against the few changes of words and numbers;
-* serial correlation of neighbouring characters' places, against that of counted or repeated strings.
-
-The largest of the three chances is the run's (all three must look random). Chances are then cut by
+mix character classes. The encoding inferred from a run's characters gives its alphabet; then three tests ask how
+often a text-like run (an identifier, a path, a slug) of that encoding and length looks so random:
+
+* chi-squared alphabet uniformity: the pairs of equal characters, the statistic's only part that varies, against
+  the chance ``repeat`` of written text in that encoding;
+* runs: changes between character classes, after separators are left out and a capital before a small letter counts
+  as one (so words, however joined, have next to no changes), against ``CHANGES`` of text;
+* serial correlation of neighbouring characters' codes, against the spread ``SERIAL`` that text has.
+
+Each gives a normal score with the mean and spread that identifiers and paths of public Python sources have (13,877
+runs; the figures are the constants below). The scores are added with ``WEIGHTS``, and the sum's spread takes their
+correlation into account, so the run's chance is that of a text-like run to reach the sum. Chances are then cut by
 Benjamini-Hochberg at ``FALSE_SHARE`` in each class of lengths apart, as short runs have little power: counts
 over all rows by class and step of -log10 of the chance, of which the driver sees one row a class.
 
-Spans are in code points, ends exclusive, and ordered by start, then kind as in ``KINDS``. A null text is
-empty. Repeated rows stay, an empty table gives no rows, and only the named columns are read.
+A run that holds a hex or access span and more is a candidate as a whole, beside that span; one that is such a span
+or meets an assignment is none. Spans are in code points, ends exclusive, and ordered by start, then kind as in
+``KINDS``. A null text is empty. Repeated rows stay, an empty table gives no rows, and only the named columns are read.
 """
 
 from __future__ import annotations
@@ -31,16 +35,19 @@ HEX = r"[0-9a-f]{16,}"
 LEAST_VALUE, LEAST = 12, 20
 CHUNK = 256
 MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9]|[A-Za-z0-9+/_-]*[a-z][A-Z])[A-Za-z0-9+/_-]{20,}={0,2}"
-# (name, characters, size of the alphabet, chance of classes' change in text, chance that two characters of text are equal)
+# (name, characters, chance that two characters of text are equal)
 ENCODINGS = [
-    ("digits", "[0-9]+", 10, 0.50, 0.20),
-    ("hex", "[0-9a-f]+|[0-9A-F]+", 16, 0.15, 0.13),
-    ("base32", "[A-Z2-7]+=*", 32, 0.06, 0.07),
-    ("base36", "[0-9a-z]+|[0-9A-Z]+", 36, 0.06, 0.07),
-    ("base62", "[0-9A-Za-z]+", 62, 0.10, 0.06),
-    ("base64", "[0-9A-Za-z+/_-]+=*", 64, 0.14, 0.06),
+    ("digits", "[0-9]+", 0.20),
+    ("hex", "[0-9a-f]+|[0-9A-F]+", 0.11),
+    ("base32", "[A-Z2-7]+=*", 0.065),
+    ("base36", "[0-9a-z]+|[0-9A-Z]+", 0.065),
+    ("base62", "[0-9A-Za-z]+", 0.048),
+    ("base64", "[0-9A-Za-z+/_-]+=*", 0.048),
 ]
-CORRELATED = 0.5
+REPEAT_SPREAD = 2.0  # variance of the pairs of equal characters, as a multiple of their mean
+CHANGES, CHANGE_BASE, CHANGE_SPREAD = 0.05, 0.3, 1.5  # of a character, of a run; variance as a multiple of the mean
+SERIAL = 0.25
+WEIGHTS, SCORE_CORRELATION = (1.0, 1.5, 0.3), 0.3  # of the tests; of the first two scores with each other
 FALSE_SHARE = 0.01
 STEPS = 20  # of -log10 of the chance, for each unit
 LENGTHS = [32, 64]  # classes: under 32, under 64, and longer
@@ -76,28 +83,29 @@ def _spans(name: str, kind: int) -> Column:
 
 
 def _chance(s: Column) -> Column:
-    """The chance of a run under the text-like null, by the battery."""
+    """The chance that a text-like run of its encoding and length looks as random, by the battery."""
     body = F.rtrim(s, F.lit("="))
     n = F.length(body).cast("double")
-    pick = lambda k: F.coalesce(*[F.when(body.rlike(f"^(?:{e[1]})$"), F.lit(float(e[k]))) for e in ENCODINGS], F.lit(float(ENCODINGS[-1][k])))
-    alphabet, change, repeat = pick(2), pick(3), pick(4)
+    repeat = F.coalesce(*[F.when(body.rlike(f"^(?:{e[1]})$"), F.lit(e[2])) for e in ENCODINGS], F.lit(ENCODINGS[-1][2]))
     chars = F.split(body, "")
     squares = _sum(F.transform(F.array_distinct(chars), lambda c: F.pow(F.length(body) - F.length(F.replace(body, c, F.lit(""))), 2)))
-    chi, df = squares * alphabet / n - n, alphabet - 1
-    shift = (n - 1) * F.greatest(alphabet * repeat - 1, F.lit(0.25))
-    uniform = _phi((chi - df - shift) / F.sqrt(2 * (df + 2 * shift)))
-    classes = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "[0-9]", "0"), "[a-z]", "1"), "[A-Z]", "2"), "+/_-", "3333")
-    changes = F.length(F.regexp_replace(classes, r"(.)(?=\1)", "")) - 1
-    mean = change * n
-    runs = 1 - _phi((changes - 0.5 - mean) / F.sqrt(mean + 1))
+    expected = n * (n - 1) / 2 * repeat
+    uniform = (expected - (squares - n) / 2) / F.sqrt(REPEAT_SPREAD * expected)
+    joined = F.regexp_replace(F.regexp_replace(body, "[+/_-]", ""), "[A-Z](?=[a-z])", "a")
+    classes = F.translate(joined, "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0" * 10 + "1" * 26 + "2" * 26)
+    changes = F.greatest(F.length(F.regexp_replace(classes, r"(.)(?=\1)", "")) - 1, F.lit(0))
+    usual = CHANGES * F.greatest(F.length(joined) - 1, F.lit(0)) + CHANGE_BASE
+    runs = (changes - usual) / F.sqrt(CHANGE_SPREAD * usual)
     codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
     average = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x) / n
     centred = F.transform(codes, lambda x: x - average)
     total = F.aggregate(centred, F.lit(0.0), lambda a, x: a + x * x)
     products = F.zip_with(F.slice(centred, 1, F.length(body) - 1), F.slice(centred, 2, F.length(body) - 1), lambda a, b: a * b)
     serial = F.when(total > 0, F.abs(F.aggregate(products, F.lit(0.0), lambda a, x: a + x) / total)).otherwise(F.lit(1.0))
-    correlated = _phi((serial - CORRELATED) * F.sqrt(n))
-    return F.greatest(uniform, runs, correlated)
+    steady = 1 - serial / SERIAL  # the mean and spread of a half-normal are near 0.8 and 0.6 of the whole's
+    u, r, c = WEIGHTS
+    spread = (u * u + r * r + c * c + 2 * SCORE_CORRELATION * u * r) ** 0.5
+    return _phi(-(u * uniform + r * runs + c * steady) / spread)
 
 
 def _length_class(n: Column) -> Column:
@@ -118,9 +126,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: boo
     spans = {name: F.when(F.size(f"_{name}") > 0, _spans(name, k)).otherwise(none) for k, name in enumerate(("assign", "access", "hex", "mixed"))}
     long_value = F.filter(spans["assign"], lambda x, i: F.length(F.get(F.col("_value"), i)) >= LEAST_VALUE)
     t = t.select("id", *keep, F.array_sort(F.concat(long_value, spans["access"], spans["hex"])).alias("base"), long_value.alias("_assigned"), spans["mixed"].alias("_m"))
-    # hex and access spans lie inside a candidate's text whole; assignments may begin before it
-    bare = F.filter("_m", lambda x: ~x["text"].rlike(HEX) & ~x["text"].rlike(ACCESS))
-    clear = F.filter(bare, lambda x: ~F.exists("_assigned", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    # hex and access spans lie inside a candidate's text whole, which is one beside them if it is longer; assignments may begin before it
+    longer = F.filter("_m", lambda x: ~x["text"].rlike(f"^(?:{HEX}|{ACCESS})$"))
+    clear = F.filter(longer, lambda x: ~F.exists("_assigned", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     mixed = F.transform(clear, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _chance(x["text"]).alias("chance"), _length_class(x["end"] - x["start"]).alias("class")))
     bare = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     return t.select("id", *keep, bare.alias("base"), mixed.alias("mixed"))
@@ -155,8 +163,8 @@ def written(spans: Column) -> Column:
 def redact(df: DataFrame, text_col: str = "text", mask: str = "[secret]") -> DataFrame:
     """``df`` with every span of the text replaced by ``mask``; spans that overlap are replaced once. Other columns stay."""
     names = df.columns
-    steps = cuts(stored(scan(df, text_col, text_col).select("mixed"), "secret-scan"))
-    whole = scan(df, text_col, text_col, row=True)
+    whole = stored(scan(df, text_col, text_col, row=True).drop("id"), "secret-scan")  # scanned once; the cuts need all rows
+    steps = cuts(whole)
     t = whole.select("_row", all_spans(steps).alias("s"))
     merged = F.aggregate(
         "s",
