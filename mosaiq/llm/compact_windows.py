@@ -1,24 +1,31 @@
 """Near-duplicate passages by compact windows of token min-hashes.
 
-Tokens are word 5-grams. For each of ``HASHES`` hash functions the Cartesian tree over a document's token ranks
+Tokens are word 5-grams. For each of four hash functions the Cartesian tree over a document's token ranks
 groups its subsequences: a node at c whose subtree spans a..b stands for all subsequences [l, r] with
 a <= l <= c <= r <= b, which share c's min-hash. Only nodes that span a passage's least length are made: they
 are the minima of the sliding windows of that length, and their bounds the nearest smaller ones among them.
-A passage that two documents share is inside one window of each with the same min-hash, for every function.
-
-Windows meet by hash and by a token beside c, on either side. In a list of such windows each is paired with one pivot window,
-and windows of a pair of documents are joined on both sides; passages around them are then verified: blocks of equal
-tokens are followed from the shared token to both sides, and of the stretches from a block's start to a block's end, of
-``LEAST`` words or more, those with a Jaccard similarity of ``SIMILARITY`` or more are passages, whatever lies between. Windows that found no passage with
-their pivot meet all others of their list, those that matched too. Token ranks
-put rare tokens first (by a sketch of fixed size): lists of unrelated windows stay short, and a window's list holds
-the documents that share the rarest part of it.
-
-Exactly repeated passages are always found; each ends where its pivot's copy ends. Near copies are found
-with a chance that rises with their similarity and with ``HASHES``: a function must have its smallest token, and one beside it, unchanged.
-Null and empty texts have no passages, nor have texts shorter than ``LEAST`` words. Rows of equal text are one
-document, repeated as a whole if it has ``LEAST`` words, and each row gets the result.
-An empty table gives no rows. Only the named columns are read.
+
+A candidate must share the min-hashes of ``ENOUGH`` = 2 functions over one subsequence. The functions stand in two
+groups of two; in a document the windows of a group are joined as intervals, and a joint window, the overlap of
+two that hold a subsequence of the least length, is keyed by both min-hashes. So joint windows of two documents
+that meet by key are windows that overlap in both functions on both sides, and windows that agree in one function
+alone, as many do by chance, never meet. A passage that two documents share exactly lies in such a pair in each
+group; one of Jaccard similarity s meets in a group with a chance of s * s for each of its subsequences.
+
+In a list of joint windows each is paired with the first document's. Pairs of two documents that lie on one diagonal
+and overlap are one request, at most ``LONGEST`` tokens long, and the two sides' tokens alone move for it. Passages are then
+verified: blocks of equal tokens are followed from the shared token to both sides, and of the stretches from a block's
+start to a block's end, of ``LEAST`` words or more, those with a Jaccard similarity of ``SIMILARITY`` or more are
+passages, whatever lies between. Windows of lists of three documents or more that no passage covers then meet all
+others of their list, those that matched too; and documents whose copies go on alike beyond the end of the first
+document's meet by the least length of tokens that ends one beyond it. Tokens that stand out as frequent (by a sketch of fixed size, the same
+for any dealing of rows) rank last, so common lines make no lists unless all of a window is common.
+
+Exactly repeated passages are always found. Near copies are found with a
+chance; README has the measured recall. Null and empty texts have no passages, nor have texts shorter than ``LEAST`` words. Rows of
+equal text are one document (by the 64-bit hash of the text), repeated as a whole if it has ``LEAST`` words, and each
+row gets the result. An empty table gives no rows. Only the named columns are read. The result does not depend on how
+rows are dealt to tasks.
 """
 
 from __future__ import annotations
@@ -30,14 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm.sketch import levels, rare_first, slot_counts
-from mosaiq.llm.textutil import documents, map_batches, mix64, raw_texts, shingles, small_batches, stored, word_hashes
+from mosaiq.llm.sketch import SLOT, levels, slot_counts
+from mosaiq.llm.textutil import bit_filter, discard, documents, map_batches, mix64, passes, raw_texts, shingles, small_batches, stored, word_hashes
 
-WIDTH, LEAST, HASHES, SIMILARITY = 5, 50, 4, 0.8
-MOST_SENT = 500_000  # documents whose keys are broadcast; more are joined by shuffle
+WIDTH, LEAST, SIMILARITY = 5, 50, 0.8
+GROUPS, ENOUGH = 3, 2  # groups of hash functions, functions of a group
+OFTEN = 5  # a token is frequent if it is met 2**5 times above what chance puts in its slot
+LONGEST = 4096  # tokens of a request before it is cut
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = "key bigint, doc bigint, a int, c int, b int"
-PAIR = "key bigint, doc bigint, a int, c int, b int, pdoc bigint, pa int, pc int, pb int"
+PAIR = "key bigint, doc bigint, a int, c int, b int, pdoc bigint, pa int, pc int, pb int, more boolean"
+REQUEST = "doc bigint, pdoc bigint, diagonal int, lo int, hi int, places array<int>"
 
 
 def tokens(raw: bytes) -> np.ndarray:
@@ -46,11 +56,9 @@ def tokens(raw: bytes) -> np.ndarray:
     return shingles(words, WIDTH) if len(words) >= WIDTH else np.empty(0, np.uint64)
 
 
-def compact_windows(ranks: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, c, b) of the Cartesian tree's nodes that span ``least`` positions or more; of equal ranks the leftmost is the smallest."""
+def _tree(ranks: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, c, b) of the nodes that span ``least`` or more, by place, and for each sliding window of that length its node."""
     n = len(ranks)
-    if n < least:
-        return (np.empty(0, np.int32),) * 3
     order = np.argsort(ranks, kind="stable")
     place = np.empty(n, np.int32)
     place[order] = np.arange(n, dtype=np.int32)
@@ -60,7 +68,8 @@ def compact_windows(ranks: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarr
         width *= 2
     if least > width:
         low = np.minimum(low[: len(low) - (least - width)], low[least - width :])
-    low = low[np.concatenate([[True], low[1:] != low[:-1]])]
+    new = np.concatenate([[True], low[1:] != low[:-1]])
+    node, low = np.cumsum(new) - 1, low[new]
     c = order[low].astype(np.int32)
     at, value = c.tolist(), low.tolist()
     a, b, stack = [0] * len(at), [n - 1] * len(at), []
@@ -69,37 +78,62 @@ def compact_windows(ranks: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarr
             b[stack.pop()] = at[k] - 1
         a[k] = at[stack[-1]] + 1 if stack else 0
         stack.append(k)
-    return np.array(a, np.int32), c, np.array(b, np.int32)
+    return np.array(a, np.int32), c, np.array(b, np.int32), node
 
 
-def _windows(df: DataFrame, order: np.ndarray, least: int, hashes: int) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(order.tobytes())
+def compact_windows(ranks: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, c, b) of the Cartesian tree's nodes that span ``least`` positions or more; of equal ranks the leftmost is the smallest."""
+    return _tree(ranks, least)[:3] if len(ranks) >= least else (np.empty(0, np.int32),) * 3
+
+
+def joint_windows(t: np.ndarray, often: np.ndarray, least: int, group: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, a, c, b) of the overlaps of a group's compact windows that hold a subsequence of ``least`` tokens; c is the first function's minimum."""
+    trees, hashes = [], []
+    for k in range(ENOUGH):
+        h = mix64(t ^ np.uint64((group * ENOUGH + k + 1) * 0x9E3779B97F4A7C15 % 2**64))
+        trees.append(_tree((often.astype(np.uint64) << np.uint64(63)) | (h >> np.uint64(1)), least))
+        hashes.append(h)
+    new = np.zeros(len(trees[0][3]), bool)
+    new[0] = True
+    for x in trees:
+        new[1:] |= x[3][1:] != x[3][:-1]
+    at = np.flatnonzero(new)
+    key, a, b = np.full(len(at), np.uint64(group), np.uint64), np.zeros(len(at), np.int32), np.full(len(at), len(t) - 1, np.int32)
+    for (low, c, high, node), h in zip(trees, hashes):
+        key = mix64(key + h[c[node[at]]])
+        a, b = np.maximum(a, low[node[at]]), np.minimum(b, high[node[at]])
+    return key.view(np.int64), a, trees[0][1][trees[0][3][at]], b
+
+
+def _windows(df: DataFrame, order: np.ndarray, least: int, groups: int) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast((order >= OFTEN).tobytes())
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rare, out = np.frombuffer(shared.value, np.uint8), []
+        frequent, out = np.frombuffer(shared.value, bool), []
         for doc, raw in zip(batch.column(0).to_numpy().tolist(), raw_texts(batch.column(1))):
             t = tokens(raw)
             if len(t) < least:
                 continue
-            for i in range(hashes):
-                h = mix64(t ^ np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64))
-                a, c, b = compact_windows(rare_first(h, t, rare), least)
-                for step, salt in ((1, 0x9E3779B97F4A7C15), (-1, 0xC2B2AE3D27D4EB4F)):  # a passage holds one neighbour of c at least
-                    ok = (c + step >= 0) & (c + step < len(t))
-                    key = mix64(h[c[ok]] + t[c[ok] + step] * np.uint64(salt)).view(np.int64)
-                    out.append((key, np.full(len(key), doc, np.int64), a[ok], c[ok], b[ok]))
+            often = frequent[t & SLOT]
+            for group in range(groups):
+                key, a, c, b = joint_windows(t, often, least, group)
+                out.append((key, np.full(len(key), doc, np.int64), a, c, b))
         cols = [np.concatenate([x[k] for x in out]) for k in range(5)] if out else [np.empty(0, d) for d in (np.int64, np.int64, np.int32, np.int32, np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "doc", "a", "c", "b"])
 
     return map_batches(df.select("doc", "text"), make, WINDOW)
 
 
+def _pair_batch(z: np.ndarray) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.int64(), *[pa.int32()] * 3]
+    return pa.RecordBatch.from_arrays([*(pa.array(z[:, k].copy()).cast(t) for k, t in enumerate(types)), pa.array(z[:, 9] != 0)], ["key", "doc", "a", "c", "b", "pdoc", "pa", "pc", "pb", "more"])
+
+
 def _paired(windows: DataFrame) -> DataFrame:
-    """Each window of a list with the first window of its first document, if that is another document, and the first document's other windows with the second's first: one scan of the sorted rows that holds the open list's windows of one document."""
-    names = ["key", "doc", "a", "c", "b", "pdoc", "pa", "pc", "pb"]
+    """Each window of a list with the first window of its first document, if that is another document, and the first document's other windows with the second's first: one scan of the sorted rows that holds the open list's windows of one document. ``more``: whether a document before it in the list had met the first one; it is sure to be set for the third document on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, met = np.empty((0, 5), np.int64), False  # the first document's windows of the open key; whether a second one was met
+        held, second = np.empty((0, 5), np.int64), None  # the first document's windows of the open key; its second document, once met
         for batch in batches:
             before = held[0, 0] if len(held) else None
             x = np.concatenate([held, np.column_stack([c.to_numpy().astype(np.int64) for c in batch.columns])])
@@ -108,26 +142,68 @@ def _paired(windows: DataFrame) -> DataFrame:
             at = np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
             first = x[at]
             other = x[:, 1] != first[:, 1]
-            z = [np.column_stack([x, first[:, 1:]])[other]]
+            # the first row of another document, for each list
+            starts, begins = np.unique(at[other], return_index=True)
+            second_doc = np.zeros(len(x), np.int64)
+            second_doc[starts] = x[np.flatnonzero(other)[begins], 1]
+            if second is not None and before is not None:
+                second_doc[0] = second
+            more = other & (x[:, 1] != second_doc[at])
+            z = [np.column_stack([x, first[:, 1:], more])[other]]
             for start in np.unique(at[~other & ~new]).tolist():  # lists whose first document has several windows
-                if met and start == 0 and x[0, 0] == before:
+                if second is not None and start == 0 and x[0, 0] == before:
                     continue
                 end = start + int(np.searchsorted(at[start:], start, side="right"))
-                second = np.flatnonzero(other[start:end])
-                if len(second):
-                    mine, row = x[start + 1 : start + second[0]], x[start + second[0]]
-                    z.append(np.column_stack([np.repeat(row[None], len(mine), axis=0), mine[:, 1:]]))
+                others = np.flatnonzero(other[start:end])
+                if len(others):
+                    mine, row = x[start + 1 : start + others[0]], x[start + others[0]]
+                    z.append(np.column_stack([np.repeat(row[None], len(mine), axis=0), mine[:, 1:], np.zeros(len(mine), np.int64)]))
             z = np.concatenate(z)
             if len(z):
-                types = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.int64(), *[pa.int32()] * 3]
-                yield pa.RecordBatch.from_arrays([pa.array(z[:, k].copy()).cast(t) for k, t in enumerate(types)], names)
+                yield _pair_batch(z)
             last = int(at[-1])
-            met = bool(other[last:].any()) or (met and x[last, 0] == before)
-            held = x[last : last + 1] if met else x[last:]
+            if other[last:].any():
+                second = int(second_doc[last])
+            elif x[last, 0] != before:
+                second = None
+            held = x[last : last + 1] if second is not None else x[last:]
 
     return windows.repartition("key").sortWithinPartitions("key", "doc", "c", "a").mapInArrow(run, PAIR)
 
 
+def _requests(pairs: DataFrame) -> DataFrame:
+    """Pairs of windows of two documents on one diagonal that overlap as one row: the stretch of ``doc``, and the places of its shared tokens; ``LONGEST`` tokens at most, then the next begins."""
+    schema = ["doc", "pdoc", "diagonal", "lo", "hi", "places"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = None
+
+        def rows(found: list) -> pa.RecordBatch:
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], schema)
+
+        for batch in batches:
+            found = []
+            for doc, pdoc, diagonal, lo, hi, c in zip(*(x.to_pylist() for x in batch.columns)):
+                if open_ and open_[:3] == [doc, pdoc, diagonal] and lo <= open_[4] and max(hi, open_[4]) - open_[3] < LONGEST:
+                    open_[4] = max(hi, open_[4])
+                    if c != open_[5][-1]:
+                        open_[5].append(c)
+                else:
+                    if open_:
+                        found.append(open_)
+                    open_ = [doc, pdoc, diagonal, lo, hi, [c]]
+            if found:
+                yield rows(found)
+        if open_:
+            yield rows([open_])
+
+    away, half = F.col("c") - F.col("pc"), LONGEST // 2  # the rest of a longer overlap lies in other windows
+    lo, hi = F.greatest("a", F.col("pa") + away, F.col("c") - half), F.least("b", F.col("pb") + away, F.col("c") + half)
+    ranges = pairs.select("doc", "pdoc", away.alias("diagonal"), lo.alias("lo"), hi.alias("hi"), "c")
+    return ranges.repartition("doc", "pdoc", "diagonal").sortWithinPartitions("doc", "pdoc", "diagonal", "c", "lo").mapInArrow(run, REQUEST)
+
+
 def _ends(u: np.ndarray, v: np.ndarray, most: float) -> np.ndarray:
     """``i, j, matched`` at the ends of the blocks of equal tokens from the shared first token on, until more than ``most`` tokens are unmatched; the next block is the nearest."""
     out, i, j, matched = [], 0, 0, 0
@@ -191,84 +267,111 @@ def verified(x: np.ndarray, y: np.ndarray, window: tuple[int, ...], least: int,
 
 
 def _arrays(df: DataFrame, docs: DataFrame) -> DataFrame:
-    """``doc, t`` of the given documents: 32 bits of each token, in order."""
+    """``doc, t`` of the given documents: 32 bits of each token, in order. Texts do not move."""
+    shared = df.sparkSession.sparkContext.broadcast(bit_filter(docs))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(pa.array(passes(shared.value, batch.column(0).to_numpy())))
         t = [(tokens(raw) >> np.uint64(32)).astype(np.uint32).view(np.int32) for raw in raw_texts(batch.column(1))]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in t])]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(t)))], ["doc", "t"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *t])))], ["doc", "t"])
 
-    if docs.count() <= MOST_SENT:
-        docs = F.broadcast(docs)
-    some = df.select("doc", "text").join(docs, "doc", "left_semi").dropDuplicates(["doc"])
-    return map_batches(some, make, "doc bigint, t array<int>")
+    return map_batches(df.select("doc", "text"), make, "doc bigint, t array<int>").join(docs, "doc", "left_semi").dropDuplicates(["doc"])
 
 
-def _verify(pairs: DataFrame, arrays: DataFrame, least: int, similarity: float, enough: int) -> DataFrame:
-    """``doc, l, r, other`` of verified passages on both sides, and ``key, doc, a, c, b`` of windows of ``doc`` that found none."""
-    w = F.struct("key", "a", "c", "b", "pa", "pc", "pb")
-    grouped = pairs.groupBy("doc", "pdoc").agg(F.collect_set(w).alias("w"))  # as many as one document has windows
-    both = grouped.join(arrays, "doc").join(arrays.select(F.col("doc").alias("pdoc"), F.col("t").alias("pt")), "pdoc").select("doc", "pdoc", "w", "t", "pt")
+def _verify(requests: DataFrame, arrays: DataFrame, least: int, similarity: float) -> DataFrame:
+    """``doc, l, r, other`` of verified passages on both sides."""
+    lo = F.greatest(F.col("lo") - least, F.lit(0), F.col("diagonal"))
+    wide = requests.withColumn("lo", lo).withColumn("hi", F.col("hi") + least)
+    mine = wide.join(arrays, "doc").withColumn("x", F.expr("slice(t, lo + 1, hi - lo + 1)")).drop("t")
+    theirs = arrays.select(F.col("doc").alias("pdoc"), F.col("t").alias("pt"))
+    both = mine.join(theirs, "pdoc").select("doc", "pdoc", "diagonal", "lo", "places", "x", F.expr("slice(pt, lo - diagonal + 1, hi - lo + 1)").alias("y"))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans, rest = [], []
-        doc, pdoc = batch.column(0).to_numpy().tolist(), batch.column(1).to_numpy().tolist()
-        w, t, pt = batch.column(2), batch.column(3), batch.column(4)
+        spans = []
+        doc, pdoc, diagonal, lo = (batch.column(k).to_numpy().tolist() for k in range(4))
+        places, xs, ys = batch.column(4), batch.column(5), batch.column(6)
         for k in range(len(doc)):
-            x, y = t[k].values.to_numpy(), pt[k].values.to_numpy()
+            x, y = xs[k].values.to_numpy(), ys[k].values.to_numpy()
             found: list[tuple[int, int, int, int]] = []
-            windows = sorted(((z["a"], z["c"], z["b"], z["pa"], z["pc"], z["pb"]), z["key"]) for z in w[k].as_py())
-            for window, key in windows:
-                overlapping = sum(v[0] <= window[1] <= v[2] and v[3] <= window[4] <= v[5] for v, _ in windows) if enough > 1 else 1
-                if any(l1 <= window[1] <= r1 and l2 <= window[4] <= r2 for l1, r1, l2, r2 in found):
+            for place in places[k].as_py():
+                c = place - lo[k]
+                if c >= min(len(x), len(y)) or any(l1 <= c <= r1 and l2 <= c <= r2 for l1, r1, l2, r2 in found):
                     continue
-                got = verified(x, y, window, least, similarity) if overlapping >= enough else []
-                if got:
-                    found += got
-                else:
-                    rest.append((key, doc[k], *window[:3]))
-            spans += [(doc[k], l1, r1, pdoc[k]) for l1, r1, _, _ in found] + [(pdoc[k], l2, r2, doc[k]) for _, _, l2, r2 in found]
-        n, m = len(spans), len(rest)
-        col = lambda rows, k, t: pa.array([r[k] for r in rows], t)
-        none = lambda k, t: pa.nulls(k, t)
-        cat = lambda p, q: pa.concat_arrays([p, q])
-        i32, i64 = pa.int32(), pa.int64()
-        return pa.RecordBatch.from_arrays(
-            [cat(none(n, i64), col(rest, 0, i64)), cat(col(spans, 0, i64), col(rest, 1, i64)), *(cat(none(n, i32), col(rest, k, i32)) for k in (2, 3, 4)), cat(col(spans, 1, i32), none(m, i32)), cat(col(spans, 2, i32), none(m, i32)), cat(col(spans, 3, i64), none(m, i64))],
-            ["key", "doc", "a", "c", "b", "l", "r", "other"],
-        )
-
-    return map_batches(both, make, "key bigint, doc bigint, a int, c int, b int, l int, r int, other bigint")
-
-
-def _others(failed: DataFrame, windows: DataFrame) -> DataFrame:
-    """Every window of ``failed`` with all windows of its lists that are of other documents, whether they matched or not; two failed ones meet once."""
-    failed = failed.distinct()
+                found += verified(x, y, (0, c, len(x) - 1, 0, c, len(y) - 1), least, similarity)
+            mine, theirs = lo[k], lo[k] - diagonal[k]
+            spans += [(doc[k], l1 + mine, r1 + mine, pdoc[k]) for l1, r1, _, _ in found] + [(pdoc[k], l2 + theirs, r2 + theirs, doc[k]) for _, _, l2, r2 in found]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in spans], t) for k, t in enumerate(types)], ["doc", "l", "r", "other"])
+
+    return map_batches(both, make, "doc bigint, l int, r int, other bigint").groupBy("doc", "l", "r").agg(F.min("other").alias("other"))
+
+
+def _uncovered(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The windows (``key, doc, a, c, b``) of lists of three documents or more whose token ``c`` is in no passage: one scan by place that holds the farthest end."""
+    sides = pairs.select("key", "doc", "a", "c", "b").unionByName(pairs.select("key", *[F.col(f"p{x}").alias(x) for x in ("doc", "a", "c", "b")]))
+    longer = pairs.where("more").select("key").distinct()
+    windows = sides.join(longer, "key", "left_semi").distinct()
+    marks = windows.select("doc", F.col("c").alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("r"), "key", "a", "b").unionByName(
+        found.select("doc", F.col("l").alias("at"), F.lit(0).alias("kind"), "r", F.lit(0).cast("bigint").alias("key"), F.lit(0).alias("a"), F.lit(0).alias("b"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, end = None, -1
+        for batch in batches:
+            out = []
+            for d, at, kind, r, key, a, b in zip(*(x.to_pylist() for x in batch.columns)):
+                if d != doc:
+                    doc, end = d, -1
+                if kind == 0:
+                    end = max(end, r)
+                elif end < at:
+                    out.append((key, d, a, at, b))
+            if out:
+                types = [pa.int64(), pa.int64(), *[pa.int32()] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["key", "doc", "a", "c", "b"])
+
+    return marks.repartition("doc").sortWithinPartitions("doc", "at", "kind").mapInArrow(run, WINDOW)
+
+
+def _others(failed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Every window of ``failed`` with all windows of its list that are of other documents, but for those that it has met; two failed ones meet once."""
+    sides = pairs.select("key", "doc", "a", "c", "b").unionByName(pairs.select("key", *[F.col(f"p{x}").alias(x) for x in ("doc", "a", "c", "b")]))
+    listed = sides.join(failed.select("key").distinct(), "key", "left_semi").distinct()
     mine = failed.select("key", *[F.col(x).alias(f"f{x}") for x in ("doc", "a", "c", "b")])
-    listed = windows.join(failed.select("key").distinct(), "key", "left_semi")
-    met = mine.join(listed, "key").where("fdoc <> doc")
     later = F.col("fdoc") > F.col("doc")
     side = lambda p, x: F.when(later, F.col(p)).otherwise(F.col(x))
     names = ("doc", "a", "c", "b")
-    return met.select("key", *[side(f"f{x}", x).alias(x) for x in names], *[side(x, f"f{x}").alias(f"p{x}") for x in names])
+    met = mine.join(listed, "key").where("fdoc <> doc")
+    met = met.select("key", *[side(f"f{x}", x).alias(x) for x in names], *[side(x, f"f{x}").alias(f"p{x}") for x in names])
+    return met.distinct().join(pairs.select("key", "doc", "c", "pdoc", "pc"), ["key", "doc", "c", "pdoc", "pc"], "left_anti").select("key", "doc", "a", "c", "b", "pdoc", "pa", "pc", "pb")
+
+
+def _edges(found: DataFrame, arrays: DataFrame, least: int) -> DataFrame:
+    """Windows (``key, doc, a, c, b``) of exactly ``least`` tokens that reach one token beyond a passage's end, keyed by all of their tokens: documents whose copies go on alike where the first document's ends meet by them."""
+    right = found.select("doc", (F.col("r") + 2 - least).alias("a"), (F.col("r") + 1).alias("c"))
+    left = found.select("doc", (F.col("l") - 1).alias("a"), (F.col("l") - 1).alias("c"))
+    ends = right.unionByName(left).where("a >= 0").distinct().join(arrays, "doc").where(F.col("a") + least <= F.size("t"))
+    return ends.select(F.xxhash64(F.slice("t", F.col("a") + 1, F.lit(least))).alias("key"), "doc", "a", "c", (F.col("a") + least - 1).alias("b"))
 
 
-def passages(df: DataFrame, least_words: int = LEAST, hashes: int = HASHES, similarity: float = SIMILARITY, enough: int = 1, text_col: str = "text") -> DataFrame:
+def passages(df: DataFrame, least_words: int = LEAST, groups: int = GROUPS, similarity: float = SIMILARITY, text_col: str = "text") -> DataFrame:
     """``doc, first, end, other``: passages (words, end exclusive) of documents that occur nearly the same in ``other``; ``doc`` is ``xxhash64(text)``, so equal texts are one document."""
     small_batches(df.sparkSession, 500)
     text = F.col(text_col).cast("string")
     keyed = df.select(F.xxhash64(text).alias("doc"), text.alias("text"))
     least = max(1, least_words - WIDTH + 1)
     order = levels(slot_counts(keyed.select("text"), tokens))
-    windows = _windows(keyed, order, least, hashes)
-    pairs = stored(_paired(windows), "windows")
-    docs = stored(pairs.select("doc").unionByName(pairs.select(F.col("pdoc").alias("doc"))).distinct(), "window-docs")
+    pairs = stored(_paired(_windows(keyed, order, least, groups)), "windows")
+    requests = stored(_requests(pairs), "window-requests")
+    docs = stored(requests.select("doc").unionByName(requests.select(F.col("pdoc").alias("doc"))).distinct(), "window-docs")
     arrays = stored(_arrays(keyed, docs), "window-tokens")
-    first = stored(_verify(pairs, arrays, least, similarity, enough), "window-verified")
-    failed = first.where("key is not null").select("key", "doc", "a", "c", "b")
-    rest = stored(_verify(_others(failed, windows), arrays, least, similarity, enough), "window-verified")
-    done = first.unionByName(rest).where("l is not null")
-    return done.select("doc", F.col("l").cast("bigint").alias("first"), (F.col("r") + WIDTH).cast("bigint").alias("end"), "other")
+    first = stored(_verify(requests, arrays, least, similarity), "window-verified")
+    failed = stored(_uncovered(pairs, first), "window-failed")
+    beyond = _paired(_edges(first, arrays, least)).drop("more")
+    rest = stored(_verify(_requests(_others(failed, pairs).unionByName(beyond)), arrays, least, similarity), "window-verified")
+    discard(requests, docs, arrays, failed, pairs)
+    return first.unionByName(rest).select("doc", F.col("l").cast("bigint").alias("first"), (F.col("r") + WIDTH).cast("bigint").alias("end"), "other")
 
 
 def duplicate_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
