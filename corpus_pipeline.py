@@ -8,7 +8,7 @@ the next one's ``docs``. All but the last keep the columns of ``documents``.
    stays, that of the smallest id (a null id counts as the largest);
 3. secrets: spans of the scan are replaced by a mark in the text;
 4. mixing: the documents' words in the mix of sources by weight, a row for each epoch that takes words of one;
-5. packing: pieces of at most 1024 token ids in sequences.
+5. packing: pieces of at most 1024 token ids in sequences; ``row`` tells the epochs of a document apart.
 
 Null texts count as empty, repeated rows as near copies, and an empty table passes all stages as one.
 """
@@ -38,11 +38,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64("doc_id", "text").alias("_key"))
-    keyed = rows.select(F.struct(F.isnull("_row.doc_id").alias("none"), F.col("_row.doc_id").alias("doc_id"), F.col("_key").alias("key")).alias("id"), F.col("_row.text").alias("text"))
-    found = jaccard_join(keyed, n=5, percent=80, id_col="id")
+    # a document is its id and 128 bits of its text; of rows that are equal in these one stays
+    text = F.col("_row.text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).withColumn("_key", F.struct(F.isnull("_row.doc_id").alias("none"), F.col("_row.doc_id").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")))
+    found = jaccard_join(rows.select(F.col("_key").alias("id"), text.alias("text")), n=5, percent=80, id_col="id")
     # a document without words is linked with nothing and stays
-    kept = found.where(F.col("id") == F.col("component_id")).select(F.col("id.key").alias("_key")).distinct()
+    kept = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("_key")).distinct()
     return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
 
 
