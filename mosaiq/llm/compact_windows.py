@@ -12,8 +12,8 @@ that meet by key are windows that overlap in both functions on both sides, and w
 alone, as many do by chance, never meet. A passage that two documents share exactly lies in such a pair in each
 group; one of Jaccard similarity s meets in a group with a chance of s * s for each of its subsequences.
 
-In a list of joint windows each is paired with the first document's. Pairs of two documents that lie on one diagonal
-and overlap are one request, at most ``LONGEST`` tokens long, and the two sides' tokens alone move for it. Passages are then
+In a list of joint windows each is paired with the first document's. Pairs of two documents
+are one request, of at most ``LONGEST`` tokens of each, and these tokens alone move for it. Passages are then
 verified: blocks of equal tokens are followed from the shared token to both sides, and of the stretches from a block's
 start to a block's end, of ``LEAST`` words or more, those with a Jaccard similarity of ``SIMILARITY`` or more are
 passages, whatever lies between. Windows of lists of three documents or more that no passage covers then meet all
@@ -43,11 +43,11 @@ from mosaiq.llm.textutil import bit_filter, discard, documents, map_batches, mix
 WIDTH, LEAST, SIMILARITY = 5, 50, 0.8
 GROUPS, ENOUGH = 3, 2  # groups of hash functions, functions of a group
 OFTEN = 5  # a token is frequent if it is met 2**5 times above what chance puts in its slot
-LONGEST = 4096  # tokens of a request before it is cut
+LONGEST, AROUND = 4096, 256  # tokens of a request before it is cut; verified on either side of a shared token at a time, what is longer has more of them
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = "key bigint, doc bigint, a int, c int, b int"
 PAIR = "key bigint, doc bigint, a int, c int, b int, pdoc bigint, pa int, pc int, pb int, more boolean"
-REQUEST = "doc bigint, pdoc bigint, diagonal int, lo int, hi int, places array<int>"
+REQUEST = "doc bigint, pdoc bigint, lo int, hi int, plo int, phi int, places array<int>, pplaces array<int>"
 
 
 def tokens(raw: bytes) -> np.ndarray:
@@ -90,7 +90,8 @@ def joint_windows(t: np.ndarray, often: np.ndarray, least: int, group: int) -> t
     """(key, a, c, b) of the overlaps of a group's compact windows that hold a subsequence of ``least`` tokens; c is the first function's minimum."""
     trees, hashes = [], []
     for k in range(ENOUGH):
-        h = mix64(t ^ np.uint64((group * ENOUGH + k + 1) * 0x9E3779B97F4A7C15 % 2**64))
+        h = t * np.uint64((2 * (group * ENOUGH + k) + 1) * 0x9E3779B97F4A7C15 % 2**64)  # tokens are mixed already
+        h ^= h >> np.uint64(32)
         trees.append(_tree((often.astype(np.uint64) << np.uint64(63)) | (h >> np.uint64(1)), least))
         hashes.append(h)
     new = np.zeros(len(trees[0][3]), bool)
@@ -172,36 +173,40 @@ def _paired(windows: DataFrame) -> DataFrame:
 
 
 def _requests(pairs: DataFrame) -> DataFrame:
-    """Pairs of windows of two documents on one diagonal that overlap as one row: the stretch of ``doc``, and the places of its shared tokens; ``LONGEST`` tokens at most, then the next begins."""
-    schema = ["doc", "pdoc", "diagonal", "lo", "hi", "places"]
+    """Pairs of windows of two documents as one row: the stretches of both, and the places of the shared tokens; ``LONGEST`` tokens at most on either side, then the next begins."""
+    names = [x.split()[0] for x in REQUEST.split(", ")]
+    types = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = None
+        now = None
 
         def rows(found: list) -> pa.RecordBatch:
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], schema)
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], names)
 
         for batch in batches:
             found = []
-            for doc, pdoc, diagonal, lo, hi, c in zip(*(x.to_pylist() for x in batch.columns)):
-                if open_ and open_[:3] == [doc, pdoc, diagonal] and lo <= open_[4] and max(hi, open_[4]) - open_[3] < LONGEST:
-                    open_[4] = max(hi, open_[4])
-                    if c != open_[5][-1]:
-                        open_[5].append(c)
-                else:
-                    if open_:
-                        found.append(open_)
-                    open_ = [doc, pdoc, diagonal, lo, hi, [c]]
+            for doc, pdoc, c, pc, lo, hi in zip(*(x.to_pylist() for x in batch.columns)):
+                plo, phi = lo - c + pc, hi - c + pc
+                if now and now[0] == doc and now[1] == pdoc:
+                    edges = min(lo, now[2]), max(hi, now[3]), min(plo, now[4]), max(phi, now[5])
+                    if edges[1] - edges[0] < LONGEST and edges[3] - edges[2] < LONGEST:
+                        now[2:6] = edges
+                        if c != now[6][-1] or pc != now[7][-1]:
+                            now[6].append(c)
+                            now[7].append(pc)
+                        continue
+                if now:
+                    found.append(now)
+                now = [doc, pdoc, lo, hi, plo, phi, [c], [pc]]
             if found:
                 yield rows(found)
-        if open_:
-            yield rows([open_])
+        if now:
+            yield rows([now])
 
-    away, half = F.col("c") - F.col("pc"), LONGEST // 2  # the rest of a longer overlap lies in other windows
+    away, half = F.col("c") - F.col("pc"), LONGEST // 2 - 1  # the rest of a longer overlap lies in other windows
     lo, hi = F.greatest("a", F.col("pa") + away, F.col("c") - half), F.least("b", F.col("pb") + away, F.col("c") + half)
-    ranges = pairs.select("doc", "pdoc", away.alias("diagonal"), lo.alias("lo"), hi.alias("hi"), "c")
-    return ranges.repartition("doc", "pdoc", "diagonal").sortWithinPartitions("doc", "pdoc", "diagonal", "c", "lo").mapInArrow(run, REQUEST)
+    ranges = pairs.select("doc", "pdoc", "c", "pc", lo.alias("lo"), hi.alias("hi"))
+    return ranges.repartition("doc", "pdoc").sortWithinPartitions("doc", "pdoc", "c", "pc", "lo").mapInArrow(run, REQUEST)
 
 
 def _ends(u: np.ndarray, v: np.ndarray, most: float) -> np.ndarray:
@@ -219,6 +224,13 @@ def _ends(u: np.ndarray, v: np.ndarray, most: float) -> np.ndarray:
             step *= 2
         out.append((i - 1, j - 1, matched))
         left, g, gap = most - (i - matched) - (j - matched), 16, None
+        near = u[i : i + WIDTH + 1] == v[j : j + WIDTH + 1] if min(len(u) - i, len(v) - j) > WIDTH else np.zeros(1, bool)
+        if near.any():  # one word replaced
+            k = int(near.argmax())
+            if 2 * k > left:
+                return np.array(out)
+            i, j = i + k, j + k
+            continue
         while left > 0 and i < len(u) and j < len(v):
             _, p, q = np.intersect1d(u[i : i + g], v[j : j + g], return_indices=True)
             if len(p) and ((p + q).min() < g or g > left):
@@ -249,21 +261,27 @@ def verified(x: np.ndarray, y: np.ndarray, window: tuple[int, ...], least: int,
     n, m, both = (before[:, None, k] + after[None, :, k] + (1, 1, -1)[k] for k in range(3))
     near = (np.minimum(n, m) >= least) & (both >= similarity * (n + m - both))
 
+    distinct = len(np.unique(u)) == len(u) and len(np.unique(v)) == len(v)
+
     def similar(l: int, r: int) -> bool:
-        if both[l, r] == n[l, r] == m[l, r]:
+        if distinct or both[l, r] == n[l, r] == m[l, r]:
             return True
         p, q = (np.unique(z[k - before[l, i] : k + after[r, i] + 1]) for z, k, i in ((x, c, 0), (y, pc, 1)))
         shared = len(np.intersect1d(p, q, assume_unique=True))
         return shared >= similarity * (len(p) + len(q) - shared)
 
+    # of the stretches that begin at one place the widest is tried, and the block of the shared token itself
     found = {}
-    places = np.argwhere(near)
-    for order in (np.lexsort((places[:, 1], places[:, 0])), np.lexsort((places[:, 0], places[:, 1]))):
-        for l, r in places[order[::-1]].tolist():
-            if (l, r) in found or similar(l, r):
-                found[l, r] = (c - int(before[l, 0]), c + int(after[r, 0]), pc - int(before[l, 1]), pc + int(after[r, 1]))
+    for lefts, near_, turn in ((near.any(axis=1), near, False), (near.any(axis=0), near.T, True)):
+        for l in np.flatnonzero(lefts)[::-1].tolist():
+            r = int(np.flatnonzero(near_[l])[-1])
+            l_, r_ = (r, l) if turn else (l, r)
+            if (l_, r_) in found or similar(l_, r_):
+                found[l_, r_] = True
                 break
-    return list(found.values())
+    if not found and near[0, 0]:
+        found[0, 0] = True
+    return [(c - int(before[l, 0]), c + int(after[r, 0]), pc - int(before[l, 1]), pc + int(after[r, 1])) for l, r in found]
 
 
 def _arrays(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -281,26 +299,32 @@ def _arrays(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _verify(requests: DataFrame, arrays: DataFrame, least: int, similarity: float) -> DataFrame:
     """``doc, l, r, other`` of verified passages on both sides."""
-    lo = F.greatest(F.col("lo") - least, F.lit(0), F.col("diagonal"))
-    wide = requests.withColumn("lo", lo).withColumn("hi", F.col("hi") + least)
-    mine = wide.join(arrays, "doc").withColumn("x", F.expr("slice(t, lo + 1, hi - lo + 1)")).drop("t")
+    for x in ("lo", "plo"):
+        requests = requests.withColumn(x, F.greatest(F.col(x) - least, F.lit(0)))
+    mine = requests.join(arrays, "doc").withColumn("x", F.expr(f"slice(t, lo + 1, hi + {least} - lo + 1)")).drop("t", "hi")
     theirs = arrays.select(F.col("doc").alias("pdoc"), F.col("t").alias("pt"))
-    both = mine.join(theirs, "pdoc").select("doc", "pdoc", "diagonal", "lo", "places", "x", F.expr("slice(pt, lo - diagonal + 1, hi - lo + 1)").alias("y"))
+    both = mine.join(theirs, "pdoc").select("doc", "pdoc", "lo", "plo", "places", "pplaces", "x", F.expr(f"slice(pt, plo + 1, phi + {least} - plo + 1)").alias("y"))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans = []
-        doc, pdoc, diagonal, lo = (batch.column(k).to_numpy().tolist() for k in range(4))
-        places, xs, ys = batch.column(4), batch.column(5), batch.column(6)
+        doc, pdoc, lo, plo = (batch.column(k).to_numpy().tolist() for k in range(4))
+        places, pplaces, xs, ys = (batch.column(k) for k in range(4, 8))
         for k in range(len(doc)):
             x, y = xs[k].values.to_numpy(), ys[k].values.to_numpy()
             found: list[tuple[int, int, int, int]] = []
-            for place in places[k].as_py():
-                c = place - lo[k]
-                if c >= min(len(x), len(y)) or any(l1 <= c <= r1 and l2 <= c <= r2 for l1, r1, l2, r2 in found):
+            failed: dict[int, int] = {}  # by diagonal the last place without a passage: what is equal on from there has none either
+            for c, pc in zip((places[k].values.to_numpy() - lo[k]).tolist(), (pplaces[k].values.to_numpy() - plo[k]).tolist()):
+                if any(s[0] <= c <= s[1] for s in found) and any(s[2] <= pc <= s[3] for s in found):
+                    continue
+                at = failed.get(c - pc)
+                if at is not None and np.array_equal(x[at : c + 1], y[at - c + pc : pc + 1]):
                     continue
-                found += verified(x, y, (0, c, len(x) - 1, 0, c, len(y) - 1), least, similarity)
-            mine, theirs = lo[k], lo[k] - diagonal[k]
-            spans += [(doc[k], l1 + mine, r1 + mine, pdoc[k]) for l1, r1, _, _ in found] + [(pdoc[k], l2 + theirs, r2 + theirs, doc[k]) for _, _, l2, r2 in found]
+                near = (max(0, c - AROUND), c, min(len(x) - 1, c + AROUND), max(0, pc - AROUND), pc, min(len(y) - 1, pc + AROUND))
+                got = verified(x, y, near, least, similarity)
+                found += got
+                if not got:
+                    failed[c - pc] = c
+            spans += [(doc[k], s[0] + lo[k], s[1] + lo[k], pdoc[k]) for s in found] + [(pdoc[k], s[2] + plo[k], s[3] + plo[k], doc[k]) for s in found]
         types = [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in spans], t) for k, t in enumerate(types)], ["doc", "l", "r", "other"])
 
@@ -335,9 +359,9 @@ def _uncovered(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _others(failed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Every window of ``failed`` with all windows of its list that are of other documents, but for those that it has met; two failed ones meet once."""
+    """Every window of ``failed`` with the first window of all other documents of its list, but for those that it has met; two failed ones meet once."""
     sides = pairs.select("key", "doc", "a", "c", "b").unionByName(pairs.select("key", *[F.col(f"p{x}").alias(x) for x in ("doc", "a", "c", "b")]))
-    listed = sides.join(failed.select("key").distinct(), "key", "left_semi").distinct()
+    listed = sides.join(failed.select("key").distinct(), "key", "left_semi").groupBy("key", "doc").agg(F.min(F.struct("c", "a", "b")).alias("w")).select("key", "doc", "w.*")
     mine = failed.select("key", *[F.col(x).alias(f"f{x}") for x in ("doc", "a", "c", "b")])
     later = F.col("fdoc") > F.col("doc")
     side = lambda p, x: F.when(later, F.col(p)).otherwise(F.col(x))
