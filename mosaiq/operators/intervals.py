@@ -29,23 +29,22 @@ def range_join(left: DataFrame, right: DataFrame, by: list[str], l_start: str, l
     return pairs.where(F.col("_bin") == F.greatest(first(l_start), first(r_start))).drop("_bin")
 
 
-def track_slice(features: DataFrame, track: DataFrame, by: list[str], key: str, start: str, end: str, r_start: str, r_end: str, value: str, width: int, reverse: Column | None = None, internal_zero: bool = False) -> DataFrame:
+def track_slice(features: DataFrame, track: DataFrame, by: list[str], key: str, start: str, end: str, r_start: str, r_end: str, value: str, width: int, reverse: Column | None = None, internal_zero: bool = False, size: str | None = None) -> DataFrame:
     """``key, by, track`` with one value a position of each feature: NaN where the track has none; features with no track at all are NaN throughout.
 
-    ``reverse`` turns minus-strand features round; ``internal_zero`` makes positions without signal that lie
-    before the track's end 0. Where intervals overlap the largest value holds.
+    ``reverse`` turns minus-strand features round; ``internal_zero`` makes positions without signal 0, but for those at or
+    past ``size``, the column of ``features`` with the chromosome's length, and those before 0, which stay NaN. Where intervals overlap the largest value
+    holds. ``key`` tells features apart. Hits become a row a position, so the work is that of the positions and the hits on them, not their product.
     """
     hits = range_join(features.select(key, *by, start, end), track.select(*by, r_start, r_end, value), by, start, end, r_start, r_end, width)
-    parts = hits.groupBy(key).agg(F.collect_list(F.struct(F.greatest(start, r_start).alias("s"), F.least(end, r_end).alias("e"), F.col(value).cast("double").alias("v"))).alias("_hits"))
-    rows = features.join(parts, key, "left")
-    nan = F.lit(float("nan"))
-
-    def at(p: Column) -> Column:
-        found = F.filter("_hits", lambda h: (h["s"] <= p) & (p < h["e"]))
-        return F.when(F.size(found) > 0, F.array_max(F.transform(found, lambda h: h["v"]))).otherwise(F.lit(0.0) if internal_zero else nan)
-
-    empty = F.array_repeat(nan, (F.col(end) - F.col(start)).cast("int"))
-    values = F.when(F.col("_hits").isNull(), empty).otherwise(F.transform(F.sequence(F.col(start), F.col(end) - 1), at))
+    seen = hits.select(key, F.explode(F.sequence(F.greatest(start, r_start), F.least(end, r_end) - 1)).alias("_p"), F.col(value).cast("double").alias("_v"))
+    places = features.where(F.col(start) < F.col(end)).select(key, F.explode(F.sequence(F.col(start), F.col(end) - 1)).alias("_p"), F.lit(None).cast("double").alias("_v"))
+    each = seen.unionByName(places).groupBy(key, "_p").agg(F.max("_v").alias("_v"))
+    parts = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_p", "_v"))).alias("_at"), F.count("_v").alias("_n"))
+    nan, rows = F.lit(float("nan")), features.join(parts, key, "left")
+    none = F.lit(0.0) if internal_zero else nan
+    inside = (lambda p: (p >= 0) & (p < F.col(size))) if size else (lambda p: p >= 0)
+    values = F.transform(F.coalesce("_at", F.array().cast(parts.schema["_at"].dataType)), lambda x: F.coalesce(x["_v"], F.when((F.col("_n") > 0) & inside(x["_p"]), none).otherwise(nan)))
     if reverse is not None:
         values = F.when(reverse, F.reverse(values)).otherwise(values)
     return rows.select(key, *by, values.alias("track"))

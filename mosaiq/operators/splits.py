@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +47,11 @@ def representatives(df: DataFrame, cluster: str, score: Column, id_col: str, see
 def balanced(df: DataFrame, flag: str, id_col: str, cap: int, seed: int = 0) -> DataFrame:
     """As many rows of each class of ``flag`` as the smaller has, ``cap`` at most, in hash order."""
     counts = df.where(F.col(flag).isNotNull()).groupBy(flag).count().collect()  # two rows
-    n = min([cap, *(r["count"] for r in counts)]) if len(counts) > 1 else 0
-    w = Window.partitionBy(flag).orderBy(hash_order(id_col, seed), F.col(id_col))
-    return df.where(F.col(flag).isNotNull()).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+    if len(counts) < 2:
+        return df.limit(0)
+    n = min([cap, *(r["count"] for r in counts)])
+    first = [df.where(F.col(flag) == r[flag]).orderBy(hash_order(id_col, seed), F.col(id_col)).limit(n) for r in counts]  # a top-n of each task, merged
+    return reduce(DataFrame.unionByName, first)
 
 
 def sample(df: DataFrame, n: int, id_col: str, seed: int = 0) -> DataFrame:

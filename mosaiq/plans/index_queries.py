@@ -134,16 +134,12 @@ def attach_lookup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.add(
-    """WITH e AS (SELECT DISTINCT user_id AS doc_id FROM events), t AS (SELECT doc_id, length(text) AS text_length FROM documents WHERE doc_id % 5 <> 0)
+    """WITH e AS (SELECT DISTINCT user_id AS doc_id FROM events), t AS (SELECT doc_id, length(text) AS text_length FROM documents)
 SELECT doc_id, CAST(text_length AS INTEGER) AS text_length, quality, e.doc_id IS NOT NULL AS has_events FROM t FULL JOIN (SELECT doc_id, quality FROM labels) l USING (doc_id) FULL JOIN e USING (doc_id)"""
 )
 def master_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _master(spark, sf_dir, table(spark, sf_dir, "documents").where("doc_id % 5 <> 0"))
-
-
-def _master(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id")).distinct()
-    base = docs.select("doc_id", F.length("text").cast("int").alias("text_length"))
+    base = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("int").alias("text_length"))
     return master.fold_outer(base, [(table(spark, sf_dir, "labels"), "doc_id", "quality", None, "quality"), (events, "doc_id", "doc_id", "exists", "events")])
 
 
@@ -217,21 +213,11 @@ def leak_venn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.venn(split_lines(spark, sf_dir).select("root_id", "split", "part"), ["root_id", "part"])
 
 
-HOP_KEYS = """k AS (SELECT o_orderkey AS rid, CAST(o_custkey AS VARCHAR) AS a, CAST(CAST(floor(o_totalprice / 50) AS BIGINT) AS VARCHAR) AS b, o_orderkey % 100 = 1 AS seed FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 100 = 1)"""
-
-
-@BOOK.add(
-    f"""WITH RECURSIVE {HOP_KEYS}, e AS (SELECT rid, 'a' || a AS key FROM k UNION ALL SELECT rid, 'b' || b FROM k),
-w AS (SELECT rid, 0 AS hop FROM k WHERE seed UNION SELECT e2.rid, w.hop + 1 FROM w JOIN e e1 ON e1.rid = w.rid JOIN e e2 ON e2.key = e1.key WHERE w.hop < 3),
-h AS (SELECT rid, min(hop) AS hop FROM w GROUP BY rid) SELECT coalesce(h.hop, -1) AS hop, count(*) AS n_new FROM k LEFT JOIN h USING (rid) GROUP BY 1"""
-)
+@BOOK.add()  # the walk of all orders to its end is too slow as recursive SQL
 def leak_transitive_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hop_profile(table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0 OR o_orderkey % 100 = 1"), max_hops=3)
-
-
-def _hop_profile(orders: DataFrame, **options) -> DataFrame:
-    rows = orders.select(F.col("o_orderkey").alias("rid"), F.col("o_custkey").alias("a"), F.floor(F.col("o_totalprice") / 50).alias("b"), F.when(F.col("o_orderkey") % 100 == 1, "train").otherwise("val").alias("split"))
-    return leakage.hop_profile(rows, "rid", ["a", "b"], **options).select(F.col("hop").cast("int").alias("hop"), "n_new")
+    """All orders, as many hops as the operator takes."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rid"), F.col("o_custkey").alias("a"), F.floor(F.col("o_totalprice") / 50).alias("b"), F.when(F.col("o_orderkey") % 100 == 1, "train").otherwise("val").alias("split"))
+    return leakage.hop_profile(rows, "rid", ["a", "b"]).select(F.col("hop").cast("int").alias("hop"), "n_new")
 
 
 PRESENCE = """p AS (SELECT l_partkey, bool_or(l_returnflag = 'A') AS a, bool_or(l_returnflag = 'N' AND l_linestatus = 'O' AND l_quantity > 45) AS n, bool_or(l_returnflag = 'R' AND l_discount > 0.08) AS r, bool_or(l_tax > 0.07 AND l_linenumber > 5) AS t FROM lineitem GROUP BY l_partkey),
@@ -321,14 +307,3 @@ def set_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def taxonomy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").where(F.col("r_name").isin("ASIA", "EUROPE")), F.col("n_regionkey") == F.col("r_regionkey"))
     return table(spark, sf_dir, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean"))
-
-
-@BOOK.add(BOOK.oracles["master_full_outer"].replace(" WHERE doc_id % 5 <> 0", ""))
-def master_full_outer_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _master(spark, sf_dir, table(spark, sf_dir, "documents"))
-
-
-@BOOK.add()  # the walk of all orders to its end is too slow as recursive SQL
-def leak_transitive_hops_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All orders, as many hops as the operator takes."""
-    return _hop_profile(table(spark, sf_dir, "orders"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,15 +14,9 @@ from mosaiq.sources.storage import table
 BOOK = Book()
 EDGES = (0.0, 10000.0, 20000.0, 35000.0, 60000.0, 90000.0)
 BIN = "CASE WHEN x IS NULL THEN 6 WHEN isnan(x) OR x < -1e-6 OR x >= 90000 + 1e-6 THEN 7 ELSE CAST(x >= 10000 AS INT) + CAST(x >= 20000 AS INT) + CAST(x >= 35000 AS INT) + CAST(x >= 60000 AS INT) END"
-#: Letters of a text that the queries beside SQL take; their ``_whole`` forms take all.
-CUT = {"char_tokens": 300, "char_round_trip": 200, "dna": 300, "strip_evidence": 80}
 VALUES = "v AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 6 THEN NULL WHEN l_linenumber = 7 THEN CAST('nan' AS DOUBLE) ELSE l_extendedprice END AS x FROM lineitem)"
 
 
-def prefix(text: Column, name: str, whole: bool) -> Column:
-    return text if whole else F.substring(text, 1, CUT[name])
-
-
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(n == 7, F.lit(float("nan"))).when(n != 6, F.col("l_extendedprice")).alias("x"))
@@ -51,16 +43,16 @@ def weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(codec.weighted_mean(F.col("embedding")), 5).alias("mean"))
 
 
-@BOOK.add("SELECT doc_id, len(c) AS n, CAST(list_sum(list_transform(c, lambda x: CASE x WHEN 'a' THEN 0 WHEN 'c' THEN 1 WHEN 'e' THEN 2 WHEN 'n' THEN 3 WHEN 't' THEN 4 WHEN '#' THEN 5 WHEN '_' THEN 6 ELSE 7 END)) AS BIGINT) AS total FROM (SELECT doc_id, string_split(text[1:300], '') AS c FROM documents WHERE length(text) > 0)")
-def char_tokens(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    t = table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", codecs.CharCodec("cante", "?").encode(prefix(F.col("text"), "char_tokens", whole)).alias("ids"))
+@BOOK.add("SELECT doc_id, len(c) AS n, CAST(list_sum(list_transform(c, lambda x: CASE x WHEN 'a' THEN 0 WHEN 'c' THEN 1 WHEN 'e' THEN 2 WHEN 'n' THEN 3 WHEN 't' THEN 4 WHEN '#' THEN 5 WHEN '_' THEN 6 ELSE 7 END)) AS BIGINT) AS total FROM (SELECT doc_id, string_split(text, '') AS c FROM documents WHERE length(text) > 0)")
+def char_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", codecs.CharCodec("cante", "?").encode(F.col("text")).alias("ids"))
     return t.select("doc_id", F.size("ids").cast("bigint").alias("n"), F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
-@BOOK.add("SELECT doc_id, regexp_replace(text[1:200], '[^acent]', '?', 'g') AS back FROM documents")
-def char_round_trip(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@BOOK.add("SELECT doc_id, regexp_replace(text, '[^acent]', '?', 'g') AS back FROM documents")
+def char_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = codecs.CharCodec("cante", "?", pad="\x01", mask="\x02")
-    return table(spark, sf_dir, "documents").select("doc_id", codec.decode(codec.encode(prefix(F.col("text"), "char_round_trip", whole))).alias("back"))
+    return table(spark, sf_dir, "documents").select("doc_id", codec.decode(codec.encode(F.col("text"))).alias("back"))
 
 
 @BOOK.add("SELECT p_partkey, CASE p_brand WHEN 'Brand#11' THEN 0 WHEN 'Brand#22' THEN 1 WHEN 'Brand#33' THEN 2 ELSE 5 END AS token FROM part")
@@ -78,16 +70,16 @@ def nucleotides(text: Column) -> Column:
     return F.translate(F.regexp_replace(F.lower(text), "[^aento]", ""), "aento", "ACGTN")
 
 
-DNA = "d AS (SELECT doc_id, translate(regexp_replace(lower(text), '[^aento]', '', 'g'), 'aento', 'ACGTN')[1:300] AS s FROM documents)"
+DNA = "d AS (SELECT doc_id, translate(regexp_replace(lower(text), '[^aento]', '', 'g'), 'aento', 'ACGTN') AS s FROM documents)"
 
 
-def dna(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", prefix(nucleotides(F.col("text")), "dna", whole).alias("s"))
+def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", nucleotides(F.col("text")).alias("s"))
 
 
 @BOOK.add(f"WITH {DNA} SELECT doc_id, reverse(translate(s, 'ACGT', 'TGCA')) AS s FROM d")
-def reverse_complement(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return dna(spark, sf_dir, whole).select("doc_id", S.reverse_complement("s").alias("s"))
+def reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dna(spark, sf_dir).select("doc_id", S.reverse_complement("s").alias("s"))
 
 
 _TABLE = ", ".join(f"'{k}': '{v}'" for k, v in S.codon_table().items())
@@ -97,13 +89,13 @@ _TABLE = ", ".join(f"'{k}': '{v}'" for k, v in S.codon_table().items())
     f"""WITH {DNA}, c AS (SELECT doc_id, list_filter(regexp_extract_all(s, '.{{1,3}}'), lambda x: length(x) = 3) AS c FROM d)
 SELECT doc_id, coalesce(array_to_string(list_transform(c, lambda x, i: CASE WHEN i = 1 AND x IN ('TTG', 'CTG', 'ATG') THEN 'M' ELSE coalesce(MAP {{{_TABLE}}}[x], '-') END), ''), '') AS protein FROM c"""
 )
-def codons_translate(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return dna(spark, sf_dir, whole).select("doc_id", S.translated("s").alias("protein"))
+def codons_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dna(spark, sf_dir).select("doc_id", S.translated("s").alias("protein"))
 
 
 @BOOK.add(f"WITH {DNA} SELECT doc_id, length(s) - length(replace(s, 'N', '')) AS n FROM d WHERE length(s) - length(replace(s, 'N', '')) <= 40 AND length(s) - length(replace(s, 'N', '')) <= 0.2 * length(s)")
-def n_filter(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return dna(spark, sf_dir, whole).where(S.enough_known("s", 40, 0.2)).select("doc_id", S.n_count("s").cast("bigint").alias("n"))
+def n_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dna(spark, sf_dir).where(S.enough_known("s", 40, 0.2)).select("doc_id", S.n_count("s").cast("bigint").alias("n"))
 
 
 COORDS = "k AS (SELECT doc_id, doc_id % 7 + 3 AS a, doc_id % 7 + 9 AS b, doc_id % 5 + 20 AS c, doc_id % 5 + 26 AS d, 40 AS n, doc_id % 2 = 1 AS minus FROM documents)"
@@ -146,9 +138,9 @@ c AS (SELECT 'aa_dssp_length' AS "check", length(aa_seq) = length(dssp) AS ok FR
  UNION ALL SELECT 'cds_aa_length', length(cds) = 3 * (length(aa_seq) + 1) FROM r UNION ALL SELECT 'cds_has_stop_codon', right(rna_seq, 3) IN ('TAA', 'TAG', 'TGA') FROM r UNION ALL SELECT 'cds_has_start_codon', rna_seq[1:3] IN ('TTG', 'CTG', 'ATG') FROM r UNION ALL SELECT 'cds_translation', FALSE FROM r)
 SELECT "check", count(*) AS n_rows, count(*) FILTER (NOT ok) AS n_failed, round(100 * count(*) FILTER (NOT ok) / count(*), 6) AS pct_failed, CASE WHEN count(*) FILTER (NOT ok) = 0 THEN 'ok' WHEN 100 * count(*) FILTER (NOT ok) / count(*) < 5 THEN 'warning' ELSE 'error' END AS level FROM c GROUP BY 1"""
 )
-def check_rates(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def check_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("s")
-    t = dna(spark, sf_dir, whole).where(n > 3)
+    t = dna(spark, sf_dir).where(n > 3)
     rows = t.select(F.col("s").alias("rna_seq"), F.concat(F.repeat(F.lit("1"), n - 1), F.lit("0")).alias("splice_regions"), F.when(F.col("doc_id") % 4 == 0, F.col("s")).otherwise(F.concat("s", F.lit("A"))).alias("dssp"), F.col("s").alias("aa_seq"), F.repeat(F.lit("1"), n).alias("cds"))
     return checks.check_rates(rows).withColumn("pct_failed", F.round("pct_failed", 6))
 
@@ -190,12 +182,12 @@ def regex_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.add(
-    r"""WITH t AS (SELECT doc_id, text[1:80] || ' {ECO:0000269|x' || doc_id || '}. see (PubMed:' || doc_id || ') , end .' AS s FROM documents)
+    r"""WITH t AS (SELECT doc_id, text || ' {ECO:0000269|x' || doc_id || '}. see (PubMed:' || doc_id || ') , end .' AS s FROM documents)
 SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(s, '\{ECO:.*?\}\.', '', 'g'), '\(PubMed:\d+\)|PubMed:\d+\)|\(PubMed:\d+', '', 'g'), '\s+([.,])', '\1', 'g'), ' ') AS s FROM t"""
 )
-def strip_evidence(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def strip_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id").cast("string")
-    s = F.concat(prefix(F.col("text"), "strip_evidence", whole), F.lit(" {ECO:0000269|x"), k, F.lit("}. see (PubMed:"), k, F.lit(") , end ."))
+    s = F.concat(F.col("text"), F.lit(" {ECO:0000269|x"), k, F.lit("}. see (PubMed:"), k, F.lit(") , end ."))
     return table(spark, sf_dir, "documents").select("doc_id", S.caption_clean(s).alias("s"))
 
 
@@ -221,12 +213,12 @@ def feature_type_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", S.clean_feature_type("f", "r", "b", "g", "o").alias("kind"))
 
 
-@BOOK.add(f"WITH {DNA}, f AS (SELECT doc_id, doc_id % 90 AS a, doc_id % 90 + 70 AS b, s FROM d) SELECT doc_id, s[a + 1:b] AS slice FROM f WHERE length(s[a + 1:b]) > 0")
-def chunked_slices(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@BOOK.add(f"WITH {DNA}, f AS (SELECT doc_id, doc_id * 7919 % greatest(length(s), 1) AS a, s FROM d) SELECT doc_id, s[a + 1:a + 70] AS slice FROM f WHERE length(s[a + 1:a + 70]) > 0")
+def chunked_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slices of sequences that are stored in chunks of 64 letters."""
-    t = dna(spark, sf_dir, whole)
+    t = dna(spark, sf_dir)
     chunks = parsers.chunked(t, "doc_id", "s", 64)
-    first = F.col("doc_id") * 7919 % F.greatest(F.length("s"), F.lit(1)) if whole else F.col("doc_id") % 90
+    first = F.col("doc_id") * 7919 % F.greatest(F.length("s"), F.lit(1))
     wanted = t.select("doc_id", F.col("doc_id").alias("f"), first.alias("a"), (first + 70).alias("b"))
     return parsers.sequence_slices(wanted, chunks, "doc_id", "f", "a", "b", 64).where("length(slice) > 0").select(F.col("f").alias("doc_id"), "slice")
 
@@ -249,20 +241,3 @@ def accession_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lambda c: c.cast("string")
     a = F.when(k % 3 == 0, F.concat(F.lit("P0"), s(k % 10), F.lit("AB"), s(k % 7))).when(k % 3 == 1, F.concat(F.lit("A"), s(k % 10), F.lit("BC"), s(k % 10), F.lit("1"))).otherwise(F.concat(F.lit("x"), s(k)))
     return table(spark, sf_dir, "customer").select("c_custkey", a.alias("a")).select("c_custkey", parsers.valid_accession("a").alias("ok"))
-
-
-def _whole(f: Callable) -> Callable:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(spark, sf_dir, whole=True)
-
-    query.__name__ = f"{f.__name__}_whole"
-    return query
-
-
-WHOLE_DNA = DNA.replace("[1:300]", "")
-for _f, _cut, _all in (
-    (char_tokens, "text[1:300]", "text"), (char_round_trip, "text[1:200]", "text"), (strip_evidence, "text[1:80]", "text"), (reverse_complement, DNA, WHOLE_DNA), (codons_translate, DNA, WHOLE_DNA),
-    (n_filter, DNA, WHOLE_DNA), (check_rates, DNA, WHOLE_DNA),
-):
-    BOOK.add(BOOK.oracles[_f.__name__].replace(_cut, _all))(_whole(_f))
-BOOK.add(f"WITH {WHOLE_DNA}, f AS (SELECT doc_id, doc_id * 7919 % greatest(length(s), 1) AS a, s FROM d) SELECT doc_id, s[a + 1:a + 70] AS slice FROM f WHERE length(s[a + 1:a + 70]) > 0")(_whole(chunked_slices))

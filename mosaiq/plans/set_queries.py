@@ -49,19 +49,12 @@ def binned_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.range_join(a, b, ["chrom"], "ls", "le", "rs", "re", 4096).select("left_id", "right_id", (F.least("le", "re") - F.greatest("ls", "rs")).alias("shared"))
 
 
-@BOOK.add(
-    f"""WITH {SIGNAL}, f AS (SELECT event_id, chrom, s - 10 AS a, s + 10 AS b FROM iv WHERE event_id % 50 = 0), p AS (SELECT event_id, chrom, unnest(range(a, b)) AS pos FROM f),
-v AS (SELECT p.event_id, p.pos, max(iv.value) AS v FROM p LEFT JOIN iv ON iv.chrom = p.chrom AND iv.s <= p.pos AND p.pos < iv.e AND iv.event_id % 7 = 0 GROUP BY 1, 2)
-SELECT event_id, count(*) AS n, count(v) AS covered, round(coalesce(sum(v), 0), 4) AS total FROM v GROUP BY event_id"""
-)
+@BOOK.add()  # a row for each position of each event is too much for SQL
 def track_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feature around each event's start, against all intervals."""
     iv = signal(spark, sf_dir)
-    return _sliced(iv.where("event_id % 50 = 0"), iv.where("event_id % 7 = 0"))
-
-
-def _sliced(chosen: DataFrame, intervals_: DataFrame) -> DataFrame:
-    features = chosen.select("event_id", "chrom", (F.col("s") - 10).alias("a"), (F.col("s") + 10).alias("b"))
-    track = intervals_.select("chrom", "s", "e", "value")
+    features = iv.select("event_id", "chrom", (F.col("s") - 10).alias("a"), (F.col("s") + 10).alias("b"))
+    track = iv.select("chrom", "s", "e", "value")
     cut = intervals.track_slice(features, track, ["chrom"], "event_id", "a", "b", "s", "e", "value", 4096)
     real = F.filter("track", lambda x: ~F.isnan(x))
     return cut.select("event_id", F.size("track").cast("bigint").alias("n"), F.size(real).cast("bigint").alias("covered"), F.round(F.aggregate(real, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
@@ -203,10 +196,3 @@ def spatial_threshold_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     atoms, vertices = points.where("vec_id % 4 = 0").withColumnRenamed("vec_id", "residue"), points.where("vec_id % 4 <> 0").withColumnRenamed("vec_id", "vid")
     out = intervals.nearest_vertices(atoms, vertices, "key", "residue", 0.5, {"total": F.sum("vid").cast("double")})
     return out.select("key", "residue", "n_vertices", F.when(F.isnan("total"), -1).otherwise(F.col("total")).cast("bigint").alias("total"))
-
-
-@BOOK.add()  # a row for each position of each event is too much for SQL
-def track_slice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feature around each event's start, against all intervals."""
-    iv = signal(spark, sf_dir)
-    return _sliced(iv, iv)

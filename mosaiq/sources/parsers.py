@@ -35,7 +35,9 @@ def gff3(lines: DataFrame) -> DataFrame:
     rows = rows.withColumns({"start": F.col("start").try_cast("bigint"), "end": F.col("end").try_cast("bigint")}).withColumns({"id": attribute("ID"), "parent": attribute("Parent")})
     w = Window.partitionBy("id")
     n = F.row_number().over(w.orderBy("seqid", "start", "end", "type", "attributes"))
-    return rows.withColumn("_all", F.count("*").over(w)).withColumn("_n", n).withColumn("id", F.when((F.col("_all") > 1) & F.col("id").isNotNull(), F.concat_ws("_", "id", "_n")).otherwise(F.col("id"))).drop("_all", "_n")
+    named = rows.where("id is not null").withColumn("_all", F.count("*").over(w)).withColumn("_n", n)
+    named = named.withColumn("id", F.when(F.col("_all") > 1, F.concat_ws("_", "id", "_n")).otherwise(F.col("id"))).drop("_all", "_n")
+    return named.unionByName(rows.where("id is null"))  # most rows have no id and need no number
 
 
 def bed(lines: DataFrame) -> DataFrame:

@@ -29,21 +29,21 @@ def column(spark, name, value):
 def test_whole_texts(spark, documents):
     s = {k: letters(t) for k, t in documents.items()}
     assert max(map(len, s.values())) > 300
-    assert column(spark, "char_tokens_whole", "n") == {k: len(t) for k, t in documents.items() if t}
-    assert column(spark, "char_round_trip_whole", "back") == {k: "".join(x if x in "acent" else "?" for x in t) for k, t in documents.items()}
-    assert column(spark, "reverse_complement_whole", "s") == {k: x[::-1].translate(str.maketrans("ACGT", "TGCA")) for k, x in s.items()}
-    assert column(spark, "n_filter_whole", "n") == {k: x.count("N") for k, x in s.items() if x.count("N") <= 40 and x.count("N") <= 0.2 * len(x)}
+    assert column(spark, "char_tokens", "n") == {k: len(t) for k, t in documents.items() if t}
+    assert column(spark, "char_round_trip", "back") == {k: "".join(x if x in "acent" else "?" for x in t) for k, t in documents.items()}
+    assert column(spark, "reverse_complement", "s") == {k: x[::-1].translate(str.maketrans("ACGT", "TGCA")) for k, x in s.items()}
+    assert column(spark, "n_filter", "n") == {k: x.count("N") for k, x in s.items() if x.count("N") <= 40 and x.count("N") <= 0.2 * len(x)}
     code = codon_table()
     protein = {}
     for k, x in s.items():
         codons = [x[i : i + 3] for i in range(0, len(x) - 2, 3)]
         protein[k] = "".join("M" if i == 0 and c in ("TTG", "CTG", "ATG") else code.get(c, "-") for i, c in enumerate(codons))
-    assert column(spark, "codons_translate_whole", "protein") == protein
+    assert column(spark, "codons_translate", "protein") == protein
     slices = {k: x[(a := k * 7919 % max(len(x), 1)) : a + 70] for k, x in s.items()}
-    assert column(spark, "chunked_slices_whole", "slice") == {k: x for k, x in slices.items() if x}
+    assert column(spark, "chunked_slices", "slice") == {k: x for k, x in slices.items() if x}
     assert max(k * 7919 % max(len(x), 1) for k, x in s.items()) > 5 * 64
-    assert all(len(x) >= len(documents[k]) // 2 for k, x in column(spark, "strip_evidence_whole", "s").items())
-    assert {r["check"]: r["n_failed"] for r in registry.QUERIES["check_rates_whole"](spark, SF).collect()}["cds_multiple_of_three"] == sum(len(x) > 3 and len(x) % 3 > 0 for x in s.values())
+    assert all(len(x) >= len(documents[k]) // 2 for k, x in column(spark, "strip_evidence", "s").items())
+    assert {r["check"]: r["n_failed"] for r in registry.QUERIES["check_rates"](spark, SF).collect()}["cds_multiple_of_three"] == sum(len(x) > 3 and len(x) % 3 > 0 for x in s.values())
 
 
 def test_transitive_hops_over_all_orders(spark):
@@ -62,7 +62,7 @@ def test_transitive_hops_over_all_orders(spark):
         hop |= {k: max(hop.values()) + 1 for k in front}
     want = Counter(hop.get(k, -1) for k in keys)
     assert max(want) > 3
-    assert {r["hop"]: r["n_new"] for r in registry.QUERIES["leak_transitive_hops_whole"](spark, SF).collect()} == want
+    assert {r["hop"]: r["n_new"] for r in registry.QUERIES["leak_transitive_hops"](spark, SF).collect()} == want
 
 
 def test_track_of_all_intervals(spark):
@@ -72,7 +72,7 @@ def test_track_of_all_intervals(spark):
     by = defaultdict(list)
     for r in rows:
         by[r["chrom"]].append(r)
-    got = {r["event_id"]: r for r in registry.QUERIES["track_slice_whole"](spark, SF).collect()}
+    got = {r["event_id"]: r for r in registry.QUERIES["track_slice"](spark, SF).collect()}
     assert len(got) == len(rows)
     for r in rows[::37]:
         best = [max((x["value"] for x in by[r["chrom"]] if x["s"] <= p < x["e"]), default=None) for p in range(r["s"] - 10, r["s"] + 10)]
@@ -82,5 +82,5 @@ def test_track_of_all_intervals(spark):
 
 
 def test_master_of_all_documents(spark, documents):
-    rows = {r["doc_id"]: r for r in registry.QUERIES["master_full_outer_whole"](spark, SF).collect()}
+    rows = {r["doc_id"]: r for r in registry.QUERIES["master_full_outer"](spark, SF).collect()}
     assert all(rows[k]["text_length"] == len(t) for k, t in documents.items())
