@@ -9,7 +9,7 @@ plus ``FENCE`` times their distance, never wider than the fixed ``BANDS``. Fixed
 ``LEAST_TEXTS`` such texts and for a measure whose quartiles are equal.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Null texts have none, and like empty texts fail the rule on words. Null
-languages take the script's band. Repeated rows are kept; an empty table gives no rows. Only the named
+languages and those without a band take the script's. Repeated rows are kept; an empty table gives no rows. Only the named
 columns are read, whole texts at a time.
 """
 
@@ -44,7 +44,13 @@ BANDS = {
     "de": Band((1.3, 6.5), 0.05, (0.3, 1.0)),
     "es": Band((1.3, 6.5), 0.05, (0.3, 1.0)),
     "latin": Band((1.2, 7.0), 0.1, (0.25, 1.0)),
-    "other": Band((0.3, 7.0), 0.6, (0.25, 1.0)),
+    "greek": Band((0.3, 4.0), 0.6, (0.25, 1.0)),
+    "cyrillic": Band((0.3, 4.0), 0.3, (0.25, 1.0)),
+    "arabic": Band((0.3, 4.0), 0.6, (0.25, 1.0)),
+    "devanagari": Band((0.2, 4.0), 0.8, (0.25, 1.0)),
+    "han": Band((0.2, 3.0), 0.9, (0.25, 1.0)),
+    "hangul": Band((0.2, 3.0), 0.95, (0.25, 1.0)),
+    "other": Band((0.2, 7.0), 1.0, (0.25, 1.0)),
 }
 
 
@@ -71,11 +77,29 @@ def fertility(text: str, ids: np.ndarray, raw_size: int, known: set[str]) -> tup
     return len(text) / n, strange / max(1, raw_size), min(1.0, entropy)
 
 
+#: Code points of the scripts' letters, by Unicode block.
+SCRIPTS = {
+    "latin": ((0x41, 0x24F), (0x1E00, 0x1EFF)),
+    "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
+    "cyrillic": ((0x400, 0x52F),),
+    "arabic": ((0x600, 0x6FF), (0x750, 0x77F)),
+    "devanagari": ((0x900, 0x97F),),
+    "han": ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0x20000, 0x2FA1F)),
+    "hangul": ((0x1100, 0x11FF), (0xAC00, 0xD7AF)),
+}
+
+
 def script(text: str) -> str:
-    """``latin`` if half of the letters or more are; else ``other``."""
-    letters = [c for c in set(text) if c.isalpha()]
-    latin = sum(text.count(c) for c in letters if ord(c) < 0x250)
-    return "latin" if 2 * latin >= sum(text.count(c) for c in letters) else "other"
+    """The script of half of the letters or more, kana with ``han``; ``latin`` without letters, ``other`` where none has half."""
+    counts, letters = dict.fromkeys(SCRIPTS, 0), 0
+    for c in set(text):
+        if c.isalpha():
+            n, at = text.count(c), ord(c)
+            letters += n
+            for name, blocks in SCRIPTS.items():
+                if any(lo <= at <= hi for lo, hi in blocks):
+                    counts[name] += n
+    return next((name for name, n in counts.items() if 2 * n >= letters), "other")
 
 
 def within(band: Band, n: int, measured: tuple[float, float, float]) -> bool:

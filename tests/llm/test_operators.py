@@ -451,7 +451,23 @@ def test_fertility_measures_and_bands():
     assert not fertility.within(fertility.BANDS["en"], 99, measure("\U0001f9ffἀꙮ" * 40))
     assert not fertility.within(fertility.BANDS["en"], 99, measure("same " * 200))
     assert fertility.within(fertility.BANDS["en"], 3, measure("ꙮ"))
-    assert fertility.script("日本語 abc") == "latin" or fertility.script("日本語日本語") == "other"
+    samples = {"latin": "plain words", "greek": "καλημέρα", "cyrillic": "привет мир", "arabic": "مرحبا", "devanagari": "नमस्त", "han": "日本語 ひらがな", "hangul": "안녕하세요"}
+    assert {fertility.script(t): t for t in samples.values()} == samples and fertility.script("123") == "latin" and fertility.script("אבגד") == "other"
+    assert set(samples) <= set(fertility.BANDS)
+
+
+def test_each_measure_rejects_its_junk(spark):
+    rng = random.Random(12)
+    pool = "the house water people river small garden morning window letter bridge village evening doctor summer market".split()
+    prose = lambda n: " ".join(rng.choice(pool) + rng.choice(["", "s", "."]) for _ in range(n))
+    docs = [(k, prose(rng.randint(60, 90)), "en") for k in range(200)]
+    docs.append((500, " ".join("".join(rng.choice("xqzjkvw&%$#") for _ in range(6)) for _ in range(70)), "en"))  # few characters a token
+    docs.append((501, " ".join(rng.choice(pool) + rng.choice("ꙮꙭꙬꙫ") for _ in range(70)), "en"))  # bytes
+    docs.append((502, " ".join(f"{a} {b}" for a in ("word",) for b in ("word",) for _ in range(40)) + " " + prose(300)[:60], "en"))  # few tokens, over and over
+    got = {r["id"]: r for r in fertility.quality_rules(spark.createDataFrame(docs, "doc_id int, text string, lang string").repartition(3), VOCABULARY, PIECES).collect()}
+    assert not any(got[k]["kept"] for k in (500, 501, 502)) and sum(got[k]["kept"] for k in range(200)) >= 190
+    usual = [got[k] for k in range(200)]
+    assert got[500]["chars_per_token"] < min(r["chars_per_token"] for r in usual) and got[501]["fallback_share"] > 0.05 and got[502]["token_entropy"] < min(r["token_entropy"] for r in usual)
 
 
 def test_bands_come_from_the_texts(spark):
