@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq.functions import annotation as A
 from mosaiq.functions import checks, codecs
 from mosaiq.functions import sequence as S
 from mosaiq.plans.book import Book
@@ -241,3 +242,30 @@ def accession_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lambda c: c.cast("string")
     a = F.when(k % 3 == 0, F.concat(F.lit("P0"), s(k % 10), F.lit("AB"), s(k % 7))).when(k % 3 == 1, F.concat(F.lit("A"), s(k % 10), F.lit("BC"), s(k % 10), F.lit("1"))).otherwise(F.concat(F.lit("x"), s(k)))
     return table(spark, sf_dir, "customer").select("c_custkey", a.alias("a")).select("c_custkey", parsers.valid_accession("a").alias("ok"))
+
+
+@BOOK.add("SELECT p_partkey, split_part(p_name, ' ', 1) AS cut, 'x:' || p_brand AS id, substr(p_brand, 5) AS tail, nullif(p_brand, 'Brand#11') || '_' || p_type AS joined, CASE WHEN p_brand IN ('Brand#12', 'Brand#22') THEN p_brand ELSE 'Other' END AS class, p_brand AS second FROM part")
+def id_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "part").withColumn("id", F.concat(F.lit("x:"), "p_brand")).withColumn("known", F.when(F.col("p_brand") != "Brand#11", F.col("p_brand")))
+    first = F.split_part("p_name", F.lit(" "), F.lit(1)).alias("cut")
+    return t.select("p_partkey", first, "id", A.without_first("p_brand").alias("tail"), A.joined_id("known", "p_type").alias("joined"), A.folded_to("p_brand", ["Brand#12", "Brand#22"]).alias("class"), A.after_colon("id").alias("second"))
+
+
+@BOOK.add(
+    """WITH p AS (SELECT page_id, (['f.bed', 'a.narrowPeak.gz', 'b.bed.gz', 'd/e.txt', 'c'])[page_id % 5 + 1] AS file, (['MSE', 'GLY', 'HSD', 'XYZ', 'UNK', 'PTR', 'CSO'])[page_id % 7 + 1] AS r FROM pages)
+SELECT page_id, (['f.bw', 'a.bw', 'b.bw', 'e.bw', 'c.bw'])[page_id % 5 + 1] AS signal, coalesce(CASE r WHEN 'MSE' THEN 'MET' WHEN 'HSD' THEN 'HIS' WHEN 'PTR' THEN 'TYR' WHEN 'CSO' THEN 'CYS' WHEN 'XYZ' THEN NULL ELSE r END, '-') AS residue FROM p"""
+)
+def annotation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("page_id") % len(values)).cast("int"))
+    t = table(spark, sf_dir, "pages").select("page_id", pick(["f.bed", "a.narrowPeak.gz", "b.bed.gz", "d/e.txt", "c"]).alias("file"), pick(["MSE", "GLY", "HSD", "XYZ", "UNK", "PTR", "CSO"]).alias("r"))
+    return t.select("page_id", A.signal_name("file").alias("signal"), F.coalesce(A.standard_residue("r"), F.lit("-")).alias("residue"))
+
+
+@BOOK.add(
+    """WITH c AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS h, CAST(embedding[2] AS DOUBLE) AS g, CAST(embedding[3] AS DOUBLE) * 10 AS q FROM embeddings), d AS (SELECT *, sqrt(CASE WHEN h * h - g < 0 THEN 1e-8 ELSE h * h - g END) AS half FROM c)
+SELECT vec_id, round(greatest(least(q, 3.0), -3.0) / 3.0, 6) AS charge, round(CASE WHEN half = 0 THEN sign(h) ELSE atan(h / half) * 2 / pi() END, 6) AS shape FROM d"""
+)
+def surface_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda k: F.get("embedding", k).cast("double")
+    t = table(spark, sf_dir, "embeddings").select("vec_id", at(0).alias("h"), at(1).alias("g"), (at(2) * 10).alias("q"))
+    return t.select("vec_id", F.round(A.scaled_charge("q"), 6).alias("charge"), F.round(A.shape_index("h", "g"), 6).alias("shape"))

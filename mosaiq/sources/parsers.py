@@ -153,6 +153,16 @@ def captions(comments: str, references: str, tags: tuple[str, ...] = ("FUNCTION"
     return F.when(F.col(comments).isNull() | (F.size(comments) == 0), "").otherwise(F.trim(text))
 
 
+def fasta_of_ids(records: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The records (``header, sequence``) whose header's first field, up to a pipe or white space, is an id of ``ids``."""
+    return records.withColumn("_id", F.regexp_extract("header", r"^[^|\s]*", 0)).join(ids.select(F.col(id_col).cast("string").alias("_id")), "_id", "left_semi").drop("_id")
+
+
+def read_corpus(spark: SparkSession, path: str, text: str = "text") -> DataFrame:
+    """The texts of JSON lines, compressed or not; other fields are not read, and lines without a text go."""
+    return spark.read.schema(f"`{text}` string").json(path).where(F.col(text).isNotNull())
+
+
 def write_by(df: DataFrame, path: str, by: list[str], fmt: str = "csv") -> None:
     """A folder for each value of ``by``."""
     df.write.partitionBy(*by).option("header", True).format(fmt).save(path)

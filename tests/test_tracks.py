@@ -1,8 +1,9 @@
-"""Track slices position by position, whole feature tables of lines without ids, and balanced cohorts."""
+"""Annotation functions, track slices position by position, whole feature tables of lines without ids, and balanced cohorts."""
 
 import math
 import random
 
+from mosaiq.functions import annotation
 from mosaiq.operators import intervals, splits
 from mosaiq.sources import parsers
 
@@ -36,3 +37,18 @@ def test_balanced_takes_equal_classes(spark):
     got = splits.balanced(df, "flag", "id", 20).collect()
     assert sorted(r["flag"] for r in got) == [False] * 5 + [True] * 5
     assert splits.balanced(df, "flag", "id", 3).count() == 6 and splits.balanced(df.where("flag"), "flag", "id", 3).count() == 0
+
+
+def test_annotation_functions_of_odd_values(spark):
+    df = spark.createDataFrame([(None, None, 0.0, 0.0, float("nan")), ("a:b:c", "x.y/z.tar.gz", 2.0, 4.0, 9.0), ("none", "q.lifted.bed", -1.0, 5.0, -9.0)], "a string, f string, h double, g double, q double")
+    got = df.select(annotation.after_colon("a").alias("a"), annotation.signal_name("f").alias("f"), annotation.shape_index("h", "g").alias("s"), annotation.scaled_charge("q").alias("q"), annotation.folded_to("a", ["x"]).alias("k"), annotation.joined_id("a", "f").alias("j")).collect()
+    assert [(r["a"], r["f"], r["k"]) for r in got] == [(None, None, "Other"), ("b", "z.tar.bw", "Other"), (None, "q.lifted.bw", "Other")]
+    assert math.isnan(got[0]["s"]) and got[1]["s"] == 1.0 and abs(got[2]["s"] + 1) < 1e-3
+    assert math.isnan(got[0]["q"]) and (got[1]["q"], got[2]["q"]) == (1.0, -1.0) and got[0]["j"] is None
+
+
+def test_records_of_ids_and_corpus_lines(spark, tmp_path):
+    records = spark.createDataFrame([("p1|x y", "MA"), ("p2", "MC"), ("p3 z", "MD")], "header string, sequence string")
+    assert {r["sequence"] for r in parsers.fasta_of_ids(records, spark.createDataFrame([("p1",), ("p3",), ("p9",)], "id string"), "id").collect()} == {"MA", "MD"}
+    spark.createDataFrame([('{"text": "a", "url": 1}',), ('{"url": 2}',), ('{"text": "b"}',)], "value string").write.option("compression", "gzip").text(str(tmp_path / "c"))
+    assert sorted(r["text"] for r in parsers.read_corpus(spark, str(tmp_path / "c")).collect()) == ["a", "b"]
