@@ -390,11 +390,13 @@ def passages(df: DataFrame, least_words: int = LEAST, groups: int = GROUPS, simi
     requests = stored(_requests(pairs), "window-requests")
     docs = stored(requests.select("doc").unionByName(requests.select(F.col("pdoc").alias("doc"))).distinct(), "window-docs")
     arrays = stored(_arrays(keyed, docs), "window-tokens")
+    discard(docs)
     first = stored(_verify(requests, arrays, least, similarity), "window-verified")
+    discard(requests)
     failed = stored(_uncovered(pairs, first), "window-failed")
     beyond = _paired(_edges(first, arrays, least)).drop("more")
     rest = stored(_verify(_requests(_others(failed, pairs).unionByName(beyond)), arrays, least, similarity), "window-verified")
-    discard(requests, docs, arrays, failed, pairs)
+    discard(arrays, failed, pairs)
     return first.unionByName(rest).select("doc", F.col("l").cast("bigint").alias("first"), (F.col("r") + WIDTH).cast("bigint").alias("end"), "other")
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.llm.graph import components
 from mosaiq.llm.sketch import SlotCounts, levels, rare_first
-from mosaiq.llm.textutil import bit_filter, discard, documents, passes, raw_texts, shingles, sized_words, small_batches, stored
+from mosaiq.llm.textutil import bit_filter, discard, documents, forget_tokens, passes, raw_texts, shingles, sized_words, small_batches, stored
 
 LARGEST_SMALL = 256  # the boundary is looked for up to this size
 LIST_SAMPLE = 4096  # one of so many n-grams is counted for the cost of scanning a list
@@ -81,6 +81,7 @@ def _profile(df: DataFrame, n: int) -> DataFrame:
     names = ["row", "id", "size", "s1", "s2", "bits", "part", "counts", "gram", "count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tokens()
         sketch, sample, id_type = None, {}, None
         row = TaskContext.get().partitionId() << 36
 
@@ -162,6 +163,7 @@ def _postings(df: DataFrame, n: int, percent: int, boundary: int, order: np.ndar
     shared = df.sparkSession.sparkContext.broadcast(order.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tokens()
         rare, seen = np.frombuffer(shared.value, np.uint8), set()
         for batch in batches:
             key, s1, s2, last, ij = [], [], [], [], []
@@ -170,7 +172,7 @@ def _postings(df: DataFrame, n: int, percent: int, boundary: int, order: np.ndar
                 d = xxhash.xxh3_128_digest(grams.tobytes())
                 if not len(grams) or d in seen:
                     continue
-                if len(seen) >= 200_000:
+                if len(seen) >= 100_000:
                     seen.clear()
                 seen.add(d)
                 for k, end, places in keys_of(grams, rare, percent, boundary):

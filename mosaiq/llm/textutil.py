@@ -6,6 +6,7 @@ memory does not grow with the corpus.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -54,11 +55,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that ``stored`` wrote and that nothing lazy still reads."""
+    """Deletes tables that ``stored`` wrote and that nothing lazy still reads, and lets Spark's cleaner drop the shuffle files of what led to them: it does so when the driver's JVM collects."""
     for t in tables:
         jvm = t.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 FILTER_BITS = 25
@@ -255,6 +258,14 @@ def byte_bpe(path: str) -> ByteBpe:
     return _BPE[path]
 
 
+def forget_tokens() -> None:
+    """Drops a reused worker's token caches, for tasks that need its memory otherwise."""
+    if _BPE:
+        _BPE.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def default_vocabulary(name: str) -> str:
     import public_tokenizers
 
