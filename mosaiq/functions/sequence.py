@@ -160,10 +160,14 @@ def is_coding(feature_type: str, cds: str) -> Column:
     return F.when(F.lower(F.col(feature_type)).contains("pseudo"), False).otherwise(F.col(cds).isNotNull() & (F.size(cds) > 0))
 
 
+#: How public protein entries write evidence tags and literature ids.
+EVIDENCE, LITERATURE = r"\{ECO:.*?\}\.", r"\(PubMed:\d+\)|PubMed:\d+\)|\(PubMed:\d+"
+
+
 def caption_clean(s: Column | str) -> Column:
     """Evidence tags and literature ids go, then blanks before stops and commas, then blanks at the ends."""
-    t = F.regexp_replace(c(s), r"\{ECO:.*?\}\.", "")
-    t = F.regexp_replace(t, r"\(PubMed:\d+\)|PubMed:\d+\)|\(PubMed:\d+", "")
+    t = F.regexp_replace(c(s), EVIDENCE, "")
+    t = F.regexp_replace(t, LITERATURE, "")
     return F.trim(F.regexp_replace(t, r"\s+([.,])", "$1"))
 
 

@@ -58,7 +58,7 @@ def venn(df: DataFrame, keys: list[str], split: str = "split") -> DataFrame:
 
 def edges(df: DataFrame, rid: str, keys: list[str]) -> DataFrame:
     """``rid, key``: a row for each key of each row that is not null; keys of different kinds never meet."""
-    kinds = F.array(*[F.when(F.col(k).isNotNull(), F.xxhash64(F.lit(k), F.col(k).cast("string"))) for k in keys])
+    kinds = F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(n).alias("kind"), F.col(k).cast("string").alias("value"))) for n, k in enumerate(keys)])
     return df.select(F.col(rid).alias("rid"), F.explode(F.array_compact(F.array_distinct(kinds))).alias("key"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ID_COLUMNS = ("genome_feature_id", "uniprot_id")
+#: The columns that an index carries from the master table.
 LOOKUP_COLUMNS = ("root_id", "protein_cluster_30", "protein_cluster_70", "rna_cluster_30", "rna_cluster_70", "domain", "kingdom", "phylum", "class", "order", "family", "genus", "species", "is_coding", "feature_type", "aa_seq_length", "rna_seq_length")
 SPLIT_ORDER = {"train": 0, "val": 1, "test": 2}
 STAGES = ("raw", "interim", "processed")
