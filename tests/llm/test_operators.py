@@ -339,7 +339,7 @@ def test_parities_bound_the_difference():
         assert np.bitwise_count(p ^ q).sum() <= len(np.setxor1d(a, b))
 
 
-@pytest.mark.parametrize("percent, n", [(85, 4), (80, 5), (51, 2)])
+@pytest.mark.parametrize("percent, n", [(85, 4), (80, 5)])
 def test_jaccard_join_of_a_group_of_near_copies(spark, percent, n):
     """A list longer than the first reach, of sets that mostly lie just under the threshold."""
     rng = random.Random(10)
@@ -351,7 +351,7 @@ def test_jaccard_join_of_a_group_of_near_copies(spark, percent, n):
             t[k : k + rng.randint(0, 2)] = [f"e{rng.randrange(400)}"] * rng.randint(0, 2)
         texts.append(" ".join(t))
     sizes, component = brute_components(texts, n, percent)
-    assert 1 < len(set(component)) < len(set(texts)) or percent < 80
+    assert 1 < len(set(component)) < len(set(texts))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
     got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(df, n, percent).collect()}
     assert got == {k: (sizes[k], component[k]) for k in range(len(texts))}
