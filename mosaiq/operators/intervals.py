@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+MOST_VALUES = 1_000_000  # positions of features that a task gives at a time
 
 
 def interval_union(df: DataFrame, by: list[str], start: str, end: str, score: str) -> DataFrame:
@@ -29,25 +37,77 @@ def range_join(left: DataFrame, right: DataFrame, by: list[str], l_start: str, l
     return pairs.where(F.col("_bin") == F.greatest(first(l_start), first(r_start))).drop("_bin")
 
 
+def _painted(rows: DataFrame, width: int, kept: list[str]) -> DataFrame:
+    """``kept`` and ``_v`` of the rows that are features: the largest value at each position from ``_s`` to ``_e`` of their bin, null where no interval is.
+
+    One scan of the rows of each bin, intervals (``_kind`` 0) before features (1), that holds one bin's positions; ``_new`` marks a bin's first row.
+    """
+    schema = StructType([*(rows.schema[c] for c in kept), StructField("_v", ArrayType(DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, there = np.empty(width), np.empty(width, bool)
+
+        def given(batch: pa.RecordBatch, at: list[int], found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            ends = np.cumsum([0, *(len(x) for x, _ in found)]).astype(np.int32)
+            values = pa.array(np.concatenate([x for x, _ in found]), mask=~np.concatenate([x for _, x in found]))
+            return pa.RecordBatch.from_arrays([*batch.select(kept).take(pa.array(at)).columns, pa.ListArray.from_arrays(pa.array(ends), values)], schema.names)
+
+        for batch in batches:
+            at, found, n = [], [], 0
+            for k, (new, kind, s, e, v) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_new", "_kind", "_s", "_e", "_value")))):
+                if new:
+                    held.fill(-np.inf)
+                    there.fill(False)
+                if kind == 0:
+                    np.maximum(held[s:e], v, out=held[s:e])
+                    there[s:e] = True
+                    continue
+                at.append(k)
+                found.append((held[s:e].copy(), there[s:e].copy()))
+                n += e - s
+                if n > MOST_VALUES:
+                    yield given(batch, at, found)
+                    at, found, n = [], [], 0
+            if at:
+                yield given(batch, at, found)
+
+    return rows.mapInArrow(run, schema)
+
+
 def track_slice(features: DataFrame, track: DataFrame, by: list[str], key: str, start: str, end: str, r_start: str, r_end: str, value: str, width: int, reverse: Column | None = None, internal_zero: bool = False, size: str | None = None) -> DataFrame:
     """``key, by, track`` with one value a position of each feature: NaN where the track has none; features with no track at all are NaN throughout.
 
     ``reverse`` turns minus-strand features round; ``internal_zero`` makes positions without signal 0, but for those at or
     past ``size``, the column of ``features`` with the chromosome's length, and those before 0, which stay NaN. Where intervals overlap the largest value
-    holds. ``key`` tells features apart. Hits become a row a position, so the work is that of the positions and the hits on them, not their product.
+    holds. Intervals and features meet in bins of ``width`` positions: the intervals are painted on the bin, and the features read from it, so no
+    pairs are made and the work is that of the rows and their positions, however many intervals lie on one place.
     """
-    hits = range_join(features.select(key, *by, start, end), track.select(*by, r_start, r_end, value), by, start, end, r_start, r_end, width)
-    seen = hits.select(key, F.explode(F.sequence(F.greatest(start, r_start), F.least(end, r_end) - 1)).alias("_p"), F.col(value).cast("double").alias("_v"))
-    places = features.where(F.col(start) < F.col(end)).select(key, F.explode(F.sequence(F.col(start), F.col(end) - 1)).alias("_p"), F.lit(None).cast("double").alias("_v"))
-    each = seen.unionByName(places).groupBy(key, "_p").agg(F.max("_v").alias("_v"))
-    parts = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_p", "_v"))).alias("_at"), F.count("_v").alias("_n"))
-    nan, rows = F.lit(float("nan")), features.join(parts, key, "left")
-    none = F.lit(0.0) if internal_zero else nan
-    inside = (lambda p: (p >= 0) & (p < F.col(size))) if size else (lambda p: p >= 0)
-    values = F.transform(F.coalesce("_at", F.array().cast(parts.schema["_at"].dataType)), lambda x: F.coalesce(x["_v"], F.when((F.col("_n") > 0) & inside(x["_p"]), none).otherwise(nan)))
-    if reverse is not None:
-        values = F.when(reverse, F.reverse(values)).otherwise(values)
-    return rows.select(key, *by, values.alias("track"))
+    first, last = (lambda s: F.floor(F.col(s) / width)), (lambda e: F.floor((F.col(e) - 1) / width))
+    turn, length = F.lit(False) if reverse is None else reverse, (F.col(size) if size else F.lit(None)).cast("bigint")
+    f = features.select(key, *by, F.col(start).alias("_start"), F.col(end).alias("_end"), turn.alias("_turn"), length.alias("_size"))
+    known = lambda names: reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in names])
+    placed = known([*by, "_start", "_end"]) & F.coalesce(F.col("_start") < F.col("_end"), F.lit(False))
+    at = lambda p: F.least(F.greatest(F.col(p) - F.col("_bin") * width, F.lit(0)), F.lit(width)).cast("int")
+    pieces = f.where(placed).withColumn("_bin", F.explode(F.sequence(first("_start"), last("_end")))).withColumns({"_kind": F.lit(1), "_s": at("_start"), "_e": at("_end")})
+    laid = track.select(*by, F.col(r_start).alias("_start"), F.col(r_end).alias("_end"), F.col(value).cast("double").alias("_value"))
+    laid = laid.where(known([*by, "_value"]) & (F.col("_start") < F.col("_end")))
+    laid = laid.withColumn("_bin", F.explode(F.sequence(first("_start"), last("_end")))).select(*by, "_bin", F.lit(0).alias("_kind"), at("_start").alias("_s"), at("_end").alias("_e"), "_value")
+    rows = pieces.unionByName(laid, allowMissingColumns=True)
+    rows = rows.withColumn("_new", F.row_number().over(Window.partitionBy(*by, "_bin").orderBy("_kind")) == 1)
+    cut = _painted(rows, width, [*f.columns, "_bin"])
+    # equal rows of features have each bin as often as they are repeated
+    parts = cut.groupBy(*f.columns).agg(F.sort_array(F.collect_list(F.struct("_bin", "_v"))).alias("_at"))
+    parts = parts.withColumn("_copies", (F.size("_at") / (last("_end") - first("_start") + 1)).cast("int"))
+    joined = F.flatten(F.transform(F.filter("_at", lambda x, k: k % F.col("_copies") == 0), lambda x: x["_v"]))
+    found = parts.select(*f.columns, joined.alias("_v"), F.explode(F.sequence(F.lit(1), "_copies"))).drop("col")
+    empty = F.array_repeat(F.lit(None).cast("double"), F.greatest(F.col("_end") - F.col("_start"), F.lit(0)).cast("int"))
+    found = found.unionByName(f.where(~placed).withColumn("_v", F.coalesce(empty, F.array().cast("array<double>"))))
+    nan, none = F.lit(float("nan")), F.lit(0.0) if internal_zero else F.lit(float("nan"))
+    place = lambda k: F.col("_start") + k
+    inside = (lambda k: (place(k) >= 0) & (place(k) < F.col("_size"))) if size else (lambda k: place(k) >= 0)
+    found = found.withColumn("_any", F.exists("_v", lambda x: x.isNotNull()))
+    values = F.transform("_v", lambda x, k: F.coalesce(x, F.when(F.col("_any") & inside(k), none).otherwise(nan)))
+    return found.select(key, *by, F.when(F.col("_turn"), F.reverse(values)).otherwise(values).alias("track"))
 
 
 def quantile_labels(df: DataFrame, by: list[str], value: str, bins: int = 10, constant: int = 5) -> DataFrame:

@@ -25,6 +25,33 @@ def test_track_slice_by_brute_force(spark):
             assert [repr(x) for x in got[k]] == [repr(x) for x in (want[::-1] if minus else want)]
 
 
+def most_rows(plan):
+    """The most rows that an operator of an executed plan gave."""
+    below = [plan.children().apply(k) for k in range(plan.children().size())]
+    below += [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if plan.nodeName().endswith("QueryStage") else []
+    own = plan.metrics().get("numOutputRows")
+    return max([own.get().value() if own.isDefined() else 0, *map(most_rows, below)])
+
+
+def test_track_slice_of_many_intervals_on_one_place_makes_no_pairs(spark):
+    n = 2000
+    f = spark.range(n).selectExpr("id AS k", "'c' AS c", "id % 3 AS a", "id % 3 + 4 AS b")
+    t = spark.range(n).selectExpr("'c' AS c", "id % 2 AS s", "id % 2 + 5 AS e", "CAST(id AS DOUBLE) AS v")
+    cut = intervals.track_slice(f, t, ["c"], "k", "a", "b", "s", "e", "v", 4)
+    got = {r["k"]: r["track"] for r in cut.collect()}
+    want = [n - 2.0] + [n - 1.0] * 5
+    assert len(got) == n and all(got[k] == want[k % 3 : k % 3 + 4] for k in got)
+    assert most_rows(cut._jdf.queryExecution().executedPlan()) <= 8 * n
+
+
+def test_track_slice_of_odd_rows(spark):
+    f = spark.createDataFrame([(1, "c", 2, 9), (1, "c", 2, 9), (1, "c", 2, 9), (2, None, 0, 2), (3, "c", None, 4), (4, "c", 5, 3), (5, "c", 3, 5), (6, "d", 0, 1)], "k int, c string, a int, b int")
+    t = spark.createDataFrame([("c", 0, 4, None), (None, 0, 9, 7.0), ("c", 3, 5, math.nan), ("c", 4, 8, 2.0), ("c", None, 9, 8.0), ("d", 1, 0, 1.0)], "c string, s int, e int, v double")
+    got = sorted((r["k"], repr(r["track"])) for r in intervals.track_slice(f, t, ["c"], "k", "a", "b", "s", "e", "v", 4, internal_zero=True).collect())
+    one = (1, "[0.0, nan, nan, 2.0, 2.0, 2.0, 0.0]")
+    assert got == [one, one, one, (2, "[nan, nan]"), (3, "[]"), (4, "[]"), (5, "[nan, nan]"), (6, "[nan]")]
+
+
 def test_gff3_numbers_shared_ids_and_keeps_lines_without(spark):
     lines = ["# note"] + [f"s\tx\texon\t{k}\t{k + 5}\t.\t+\t.\tParent=m{k % 2}" for k in range(1, 6)] + [f"s\tx\tCDS\t{k}\t{k + 2}\t.\t+\t0\tID=cds;Parent=m1" for k in (30, 20)] + ["s\tx\tmRNA\t1\t9\t.\t+\t.\tID=m1"]
     got = parsers.gff3(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
