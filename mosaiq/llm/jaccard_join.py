@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.llm.graph import components
 from mosaiq.llm.sketch import SlotCounts, levels, rare_first
-from mosaiq.llm.textutil import bit_filter, discard, documents, forget_tokens, passes, raw_texts, shingles, sized_words, small_batches, stored
+from mosaiq.llm.textutil import bit_filter, discard, documents, forget_tokens, free_shuffles, passes, raw_texts, shingles, sized_words, small_batches, stored
 
 LARGEST_SMALL = 256  # the boundary is looked for up to this size
 LIST_SAMPLE = 4096  # one of so many n-grams is counted for the cost of scanning a list
@@ -253,7 +253,23 @@ def _sets(df: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*sig, pa.ListArray.from_arrays(pa.array(offsets), values)], ["s1", "s2", "grams"])
 
     made = df.select(F.xxhash64("id").alias("h"), "text").mapInArrow(run, "s1 bigint, s2 bigint, grams array<bigint>")
-    return made.join(nodes.select("s1", "s2", "node"), ["s1", "s2"]).dropDuplicates(["node"]).select("node", "grams")
+    # the node follows from the signature, so rows stay where the join put them
+    return made.join(nodes.select("s1", "s2", "node"), ["s1", "s2"]).dropDuplicates(["s1", "s2", "node"]).select("node", "grams")
+
+
+def _by_parity(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``u, v``) whose sets' parities differ in no more places than those of linked sets can; sets of others need not move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = (batch.column(k).to_numpy() for k in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, PARITY_BITS // 64) for k in (4, 5))
+            differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            yield batch.select(["u", "v"]).filter(pa.array(differ <= m + n - 2 * reached(m, n, percent)))
+
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"{x}size"), F.col("bits").alias(f"{x}bits"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "usize", "vsize", "ubits", "vbits")
+    return both.mapInArrow(run, "u bigint, v bigint")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, n: int, percent: int) -> DataFrame:
@@ -262,11 +278,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, n: int, percent
     ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     wanted = stored(nodes.join(ends, "node", "left_semi"), "join-wanted")
     sets = stored(_sets(df, wanted, n), "join-sets")
+    discard(wanted)
     a = sets.select(F.col("node").alias("u"), F.col("grams").alias("a"))
     b = sets.select(F.col("node").alias("v"), F.col("grams").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     links = stored(pairs.join(a, "u").join(b, "v").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v"), "join-links")
-    discard(pairs, wanted, sets)
+    discard(pairs, sets)
     return links
 
 
@@ -366,11 +383,12 @@ def jaccard_join(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "do
     df = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     profile = stored(_profile(df, n), "join-profile")
     order, boundary = levels(profile.where("part is not null").select("part", "counts")), _boundary(profile, percent)
-    rows = profile.where("row is not null").select("row", "id", "size", "s1", "s2")
+    rows = profile.where("row is not null").select("row", "id", "size", "s1", "s2", "bits")
     lists = stored(_shared_lists(_postings(df, n, percent, boundary, order)), "join-lists")
-    nodes = rows.where("size > 0").groupBy("s1", "s2").agg(F.min("row").alias("node"), F.min("id").alias("rep"), F.min("size").alias("size"))
+    free_shuffles(spark)
+    nodes = rows.where("size > 0").groupBy("s1", "s2").agg(F.min("row").alias("node"), F.min("id").alias("rep"), F.min("size").alias("size"), F.any_value("bits").alias("bits"))
     in_lists = stored(nodes.join(lists.select("s1", "s2").distinct(), ["s1", "s2"], "left_semi"), "join-nodes")
-    bits = profile.select(F.col("row").alias("node"), "bits")
+    bits = in_lists.select("node", "bits")
     members = stored(lists.join(in_lists, ["s1", "s2"]).select("key", "size", "node", "last", "ij"), "join-members")
     discard(lists)
     for _ in range(PRUNINGS):  # a list that loses a member may cap the others lower
@@ -382,7 +400,7 @@ def jaccard_join(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "do
     fits = _may_link({"size": "size", "cap": "cap", "last": "last"}, {"size": "p.size", "cap": "p.cap", "last": "p.last"}, percent)
     met = members.join(pivots, "key").where((F.col("node") != -F.col("p.to")) & fits).groupBy(F.col("node").alias("u"), (-F.col("p.to")).alias("v")).agg(F.count("*").alias("met"))
     best = met.groupBy("u").agg(F.max_by("v", F.struct("met", -F.col("v"))).alias("v"))
-    links = _verified(best, in_lists, df, n, percent)
+    links = _verified(_by_parity(best, in_lists, percent), in_lists, df, n, percent)
     labels = stored(components(links, "join-components"), "join-labels")
     reach, done = FIRST_REACH, 0
     while True:

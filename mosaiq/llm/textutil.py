@@ -54,14 +54,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished steps: it does so when the driver's JVM collects."""
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that ``stored`` wrote and that nothing lazy still reads, and lets Spark's cleaner drop the shuffle files of what led to them: it does so when the driver's JVM collects."""
+    """Deletes tables that ``stored`` wrote and that nothing lazy still reads, and the shuffle files of what led to them."""
     for t in tables:
         jvm = t.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        free_shuffles(tables[0].sparkSession)
 
 
 FILTER_BITS = 25

@@ -339,6 +339,20 @@ def test_parities_bound_the_difference():
         assert np.bitwise_count(p ^ q).sum() <= len(np.setxor1d(a, b))
 
 
+def test_jaccard_sets_move_once_and_only_for_pairs_that_parity_allows(spark):
+    rng, sets = np.random.default_rng(3), []
+    for k in range(60):
+        x = rng.integers(0, 2**63, 200, np.int64).astype(np.uint64)
+        sets += [np.unique(x), np.unique(np.concatenate([x[rng.integers(0, 40) :], rng.integers(0, 2**63, int(rng.integers(0, 40)), np.int64).astype(np.uint64)]))]
+    nodes = spark.createDataFrame([(k, k, k, k, len(x), bytearray(jaccard_join.parity(x))) for k, x in enumerate(sets)], "node bigint, rep bigint, s1 bigint, s2 bigint, size bigint, bits binary")
+    pairs = [(u, v) for u in range(0, 120, 2) for v in (u + 1, (u + 2) % 120)]
+    kept = {tuple(r) for r in jaccard_join._by_parity(spark.createDataFrame(pairs, "u bigint, v bigint"), nodes, 85).collect()}
+    linked = {(u, v) for u, v in pairs if 100 * (n := len(np.intersect1d(sets[u], sets[v]))) >= 85 * (len(sets[u]) + len(sets[v]) - n)}
+    assert 20 < len(linked) and linked <= kept < set(pairs) and all(v == u + 1 for u, v in kept)
+    made = jaccard_join._sets(spark.createDataFrame([("1", "a b")], "id string, text string"), nodes, 4)
+    assert "hashpartitioning(node" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("percent, n", [(85, 4), (80, 5)])
 def test_jaccard_join_of_a_group_of_near_copies(spark, percent, n):
     """A list longer than the first reach, of sets that mostly lie just under the threshold."""
